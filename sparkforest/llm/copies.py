@@ -176,22 +176,22 @@ def count_records(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     return map_groups(map_rows(partial, bucketed, COUNTED + ", bucket int"), ["bucket"], _bucket_count, COUNTED)
 
 
-def canonical_endpoint(column: str) -> F.Column:
-    """Letters and digits only, in lower case; null for null and for texts that have neither."""
-    bare = F.lower(F.regexp_replace(F.col(column), r"[^\p{L}\p{Nd}]", ""))
-    return F.when(bare != "", bare)
+def bare_text(column: str) -> F.Column:
+    """Letters and digits only, in lower case."""
+    return F.lower(F.regexp_replace(F.col(column), r"[^\p{L}\p{Nd}]+", ""))
 
 
 def edge_operations(batches: DataFrame) -> DataFrame:
     """(row_id, key): canonical bytes of batch, operation and the two endpoints in either order.
 
-    A null batch or operation is a value of its own. Rows with an unreadable endpoint have no key.
+    A null batch or operation is a value of its own. Rows in which an endpoint is null or has no letter or digit have no
+    key. The canonical texts are columns of their own first, so that each is computed once a row.
     """
-    a, b = canonical_endpoint("node1"), canonical_endpoint("node2")
+    bare = batches.select("row_id", "batch_id", "op", bare_text("node1").alias("a"), bare_text("node2").alias("b"))
     batch = F.coalesce(F.col("batch_id").cast("string"), F.lit("null"))
     op = F.coalesce(F.concat(F.lit("="), F.col("op")), F.lit("null"))
-    key = F.concat(batch, F.lit(SEP), F.least(a, b), F.lit(SEP), F.greatest(a, b), F.lit(SEP), op)
-    return batches.select("row_id", F.when(a.isNotNull() & b.isNotNull(), key).cast("binary").alias("key"))
+    key = F.concat(batch, F.lit(SEP), F.least("a", "b"), F.lit(SEP), F.greatest("a", "b"), F.lit(SEP), op)
+    return bare.select("row_id", F.when((F.col("a") != "") & (F.col("b") != ""), key).cast("binary").alias("key"))
 
 
 def edge_records(batches: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
