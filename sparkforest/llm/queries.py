@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkforest.llm import copies, mixing, packing, quantiles
+from sparkforest.llm import copies, garbled, mixing, packing, quantiles
 from sparkforest.plans.context import table
 
 
@@ -40,7 +40,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p4_percentiles, p4_day_sketches, p6_pack, p6_report, p7_select, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restore_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restore_garbled(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p4_percentiles, p4_day_sketches, p6_pack, p6_report, p7_select, p7_shares, p8_found, p8_restored)}
 
 _CANON = r"""canon as (select row_id, batch_id, op, lower(regexp_replace(node1, '[^\p{L}\p{Nd}]', '', 'g')) a, lower(regexp_replace(node2, '[^\p{L}\p{Nd}]', '', 'g')) b from edges_to_delete),
   records as (select batch_id, op, least(a, b) node_a, greatest(a, b) node_b, min(row_id) keep_id, count(*) n_copies from canon where a <> '' and b <> '' group by 1, 2, 3, 4)"""
