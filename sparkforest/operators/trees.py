@@ -114,7 +114,7 @@ def path_statistics(tree_depths: DataFrame) -> DataFrame:
         F.max("depth").alias("max_depth"),
         (F.sum(F.col("depth") * F.col("n")) / F.sum("n")).alias("mean_depth"),
         F.floor(F.avg("depth")).alias("whole_mean_of_distinct_depths"),
-        F.floor(F.percentile("depth", 0.5, "n")).alias("whole_median_depth"),
+        F.floor(F.percentile("depth", 0.5, F.col("n"))).alias("whole_median_depth"),
     )
 
 

@@ -44,10 +44,17 @@ def declared_size(spark: SparkSession, path: str) -> tuple[int, ...]:
     return tuple(int(x) for x in first[0].split()) if first else ()
 
 
-def _open(path: str):
+def _place(path: str):
+    """(file system, path in it); Hadoop writes local URIs with one slash."""
     from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _open(path: str):
+    system, at = _place(path)
     return system.open_input_file(at)
 
 
@@ -134,3 +141,27 @@ def write_graph(edges: DataFrame, path: str, vertices: DataFrame | None = None)
 def write_records(records: DataFrame, path: str) -> None:
     """Records as CSV with a header; nulls are empty."""
     records.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_egr(edges: DataFrame, path: str) -> None:
+    """A binary adjacency file of a graph that fits one task (see plans.scale); ids must be below 2**31. Larger graphs go to parquet."""
+    from sparkforest.plans.scale import in_one_task, is_small
+
+    sym = symmetrise(edges)
+    if not is_small(sym):
+        raise ValueError("the binary format is one file; write graphs of this size as parquet")
+
+    def kernel(given: dict) -> list:
+        src, dst = given["sym"]
+        order = np.lexsort((dst, src))
+        src, dst = src[order], dst[order]
+        n = int(max(src.max(initial=-1), dst.max(initial=-1))) + 1
+        offsets = np.searchsorted(src, np.arange(n + 1)).astype("<i8")
+        system, at = _place(path)
+        with system.open_output_stream(at) as f:
+            f.write(struct.pack("<QQ", len(offsets), len(dst)))
+            f.write(offsets.tobytes())
+            f.write(dst.astype("<i4").tobytes())
+        return [np.array([len(dst)])]
+
+    in_one_task({"sym": sym}, kernel, "n bigint").collect()
