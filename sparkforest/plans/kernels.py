@@ -110,3 +110,51 @@ def prefix_in_groups(group: np.ndarray, order: np.ndarray, value: np.ndarray) ->
     out = np.empty(len(value), dtype=np.int64)
     out[at] = run - base
     return out
+
+
+def _pair_keys(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b) * np.int64(n) + np.maximum(a, b)
+
+
+def repair(n: int, parent: np.ndarray, u: np.ndarray, v: np.ndarray, dead_u: np.ndarray, dead_v: np.ndarray) -> np.ndarray:
+    """The parents after the edges dead_u, dead_v are gone and the fragments are joined again through the edges u, v.
+
+    The same answer as the composition of operators.contract and operators.reroot: fragments are named by their roots, the
+    smallest edge joins two fragments, their forest is breadth-first from the smallest fragment of each component.
+    """
+    every = np.arange(n)
+    parent = parent.copy()
+    child = every[parent != every]
+    gone = child[np.isin(_pair_keys(n, child, parent[child]), _pair_keys(n, dead_u, dead_v))]
+    parent[gone] = gone
+    root, _ = jump(parent, np.zeros(n, dtype=np.int64))
+    ru, rv = root[u], root[v]
+    cross = ru != rv
+    u, v, ru, rv = u[cross], v[cross], ru[cross], rv[cross]
+    if not len(u):
+        return parent
+    turn = ru > rv
+    a, b = np.where(turn, rv, ru), np.where(turn, ru, rv)
+    wa, wb = np.where(turn, v, u), np.where(turn, u, v)
+    order = np.lexsort((wb, wa, b, a))
+    a, b, wa, wb = a[order], b[order], wa[order], wb[order]
+    first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    a, b, wa, wb = a[first], b[first], wa[first], wb[first]
+    frags, (x, y) = dense(a, b)
+    label = components(len(frags), x, y)
+    above, _ = breadth_first(len(frags), x, y, np.unique(label))
+    below = np.flatnonzero(above != np.arange(len(frags)))
+    keys = x * np.int64(len(frags)) + y
+    at = np.searchsorted(keys, _pair_keys(len(frags), below, above[below]))
+    low = below < above[below]
+    start, onto = np.where(low, wa[at], wb[at]), np.where(low, wb[at], wa[at])
+    # All paths are walked up together; they lie in different fragments.
+    new, now = parent.copy(), start
+    while len(now):
+        up = parent[now]
+        on = up != now
+        now, up = now[on], up[on]
+        new[up] = now
+        now = up
+    new[start] = onto
+    return new

@@ -378,12 +378,12 @@ def e1_delete_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_REPAIRED)
 def g5_delete_repair_by_lifting(spark: SparkSession, d: str) -> DataFrame:
-    return ForestState.from_edges(chain(spark, d), strategy="hs", method="lifting").delete(chain_batch(spark, d)).forest
+    return ForestState.from_edges(chain(spark, d), strategy="hs", method="lifting", in_task=False).delete(chain_batch(spark, d)).forest
 
 
 @_query(_sql("select id, parent from repaired", _URGENT, _SYM, _CC, _BFS, _CUT, _SUPER))
 def e1_delete_repair_urgent(spark: SparkSession, d: str) -> DataFrame:
-    return ForestState.from_edges(urgent(spark, d), strategy="hs").delete(urgent_batch(spark, d)).forest
+    return ForestState.from_edges(urgent(spark, d), in_task=False).delete(urgent_batch(spark, d)).forest
 
 
 @_query(_sql("select id, parent from repaired", _NET, _SYM, _CC, _BFS, _CUT, _SUPER))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from sparkforest.operators import edges as E
 from sparkforest.operators.contract import fragments, replacements, super_edges, super_forest
 from sparkforest.operators.reroot import reroot
 from sparkforest.operators.traverse import bfs_forest, spanning_forest
+from sparkforest.plans import kernels
 from sparkforest.plans.context import cut
-from sparkforest.plans.scale import is_small
+from sparkforest.plans.scale import SMALL_ROWS, in_one_task, is_small
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,7 @@ class ForestState:
     """Edges and forest of one version. Every change gives a new state; the old one stays as it was.
 
     strategy: ``sg`` or ``hs``, how the fragments' graph is searched. method: ``interval`` or ``lifting``, how paths turn.
+    in_task: whether a graph that fits one task may be repaired there, with the same answer; else it takes the operators.
     """
 
     edges: DataFrame
@@ -38,39 +42,56 @@ class ForestState:
     version: int = 0
     strategy: str = "sg"
     method: str = "interval"
-    last: Repair | None = None
+    in_task: bool = True
+    #: No more than so many edges and vertices; None if they were not counted.
+    rows: int | None = None
+    #: Gives what the last repair saw; worked out when asked for, if the repair ran in one task.
+    last: Callable[[], Repair] | None = None
 
     @classmethod
-    def from_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, root: int | None = None, how: str = "bfs", strategy: str = "sg", method: str = "interval") -> ForestState:
+    def from_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, root: int | None = None, how: str = "bfs", strategy: str = "sg", method: str = "interval", in_task: bool = True) -> ForestState:
         """how: ``bfs`` (shallow trees, a round per level beyond one task) or ``graft`` (any depth in logarithmic rounds)."""
         own = cut(edges.select("u", "v"))
-        forest = bfs_forest(own, vertices, root).select("id", "parent") if how == "bfs" else spanning_forest(own, vertices)
-        return cls(own, cut(forest), 0, strategy, method)
+        small = is_small(own)
+        forest = cut(bfs_forest(own, vertices, root, small).select("id", "parent") if how == "bfs" else spanning_forest(own, vertices, small))
+        return cls(own, forest, 0, strategy, method, in_task, own.count() + forest.count())
 
     def delete(self, batch: DataFrame) -> ForestState:
         """The state without the batch's edges. Absent and repeated edges and loops in the batch change nothing."""
         b = cut(E.canonical(batch))
         left = cut(E.delete_edges(self.edges, b))
-        cutted = cut(E.cut_forest(self.forest, b))
-        return self._repaired(left, cutted, E.absent(left, E.tree_edges(cutted)))
+        return self._repaired(left, self.forest, b, None, self.rows)
 
     def insert(self, batch: DataFrame) -> ForestState:
         """The state with the batch's edges; new vertices join the forest. Only the batch is searched for edges that join two trees."""
         b = cut(E.absent(E.canonical(batch), self.edges))
         fresh = E.vertices_of(b).join(self.forest.select("id"), "id", "left_anti")
         forest = cut(self.forest.select("id", "parent").unionByName(fresh.select("id", F.col("id").alias("parent"))))
-        return self._repaired(cut(self.edges.unionByName(b)), forest, b)
-
-    def _repaired(self, edges: DataFrame, cutted: DataFrame, candidates: DataFrame) -> ForestState:
-        small = is_small(cutted, edges)
-        frag = cut(fragments(cutted, small))
-        supers = cut(super_edges(candidates, frag, small))
-        none = supers.isEmpty()
-        above = cut(super_forest(supers, self.strategy)) if not none else frag.limit(0).select("id", F.col("rep").alias("parent"))
-        repl = cut(replacements(above, supers)) if not none else supers.select(F.col("a").alias("frag"), F.col("wa").alias("u"), F.col("wb").alias("v"))
-        # No edge joins two fragments: the cut forest is the answer.
-        forest = cutted if none else cut(reroot(cutted, repl, self.method, small))
-        return replace(self, edges=edges, forest=forest, version=self.version + 1, last=Repair(cutted, frag, supers, above, repl))
+        rows = None if self.rows is None else self.rows + 3 * b.count()
+        return self._repaired(cut(self.edges.unionByName(b)), forest, b.limit(0), b, rows)
+
+    def _repaired(self, edges: DataFrame, forest: DataFrame, dead: DataFrame, fresh: DataFrame | None, rows: int | None) -> ForestState:
+        """dead: the edges taken away. fresh: the only edges that may join two trees, by default all that are left."""
+        small = rows <= SMALL_ROWS if rows is not None else is_small(edges, forest)
+        candidates = fresh if fresh is not None else edges
+
+        def details() -> Repair:
+            cutted = cut(E.cut_forest(forest, dead))
+            frag = cut(fragments(cutted, small))
+            supers = cut(super_edges(candidates if fresh is not None else E.absent(edges, E.tree_edges(cutted)), frag, small))
+            if supers.isEmpty():
+                return Repair(cutted, frag, supers, frag.limit(0).select("id", F.col("rep").alias("parent")), supers.select(F.col("a").alias("frag"), F.col("wa").alias("u"), F.col("wb").alias("v")))
+            above = cut(super_forest(supers, self.strategy))
+            return Repair(cutted, frag, supers, above, cut(replacements(above, supers)))
+
+        if small and self.in_task:
+            new, last = cut(_in_task(forest, candidates, dead)), details
+        else:
+            seen = details()
+            # Where no edge joins two fragments the cut forest is the answer.
+            new = seen.cut if seen.supers.isEmpty() else cut(reroot(seen.cut, seen.repl, self.method, small))
+            last = lambda: seen
+        return replace(self, edges=edges, forest=new, version=self.version + 1, rows=rows, last=last)
 
     def components(self) -> DataFrame:
         """(n_trees)"""
@@ -87,11 +108,22 @@ class ForestState:
         return cls(spark.read.parquet(f"{at}/edges"), spark.read.parquet(f"{at}/forest"), version, **how)
 
 
+def _in_task(forest: DataFrame, edges: DataFrame, dead: DataFrame) -> DataFrame:
+    def kernel(given: dict) -> list:
+        (ids, parents), (u, v), (x, y) = given["forest"], given["edges"], given["dead"]
+        names, (a, b, u, v, x, y) = kernels.dense(ids, parents, u, v, x, y)
+        parent = np.arange(len(names))
+        parent[a] = b
+        return [names[a], names[kernels.repair(len(names), parent, u, v, x, y)[a]]]
+
+    return in_one_task({"forest": forest.select("id", "parent"), "edges": edges.select("u", "v"), "dead": dead.select("u", "v")}, kernel, "id bigint, parent bigint")
+
+
 def repair_report(before: ForestState, after: ForestState, batch: DataFrame) -> DataFrame:
     """One row: batch edges, tree edges among them, fragments, pairs of fragments, replacement edges, trees before and after."""
     from sparkforest.operators.trees import side_by_side
 
     b = E.classify(E.canonical(batch), before.forest).agg(F.count("*").alias("batch_edges"), F.count_if("is_tree").alias("tree_edges"))
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    r = after.last
+    r = after.last()
     return side_by_side(b, one(r.cut.where("id = parent"), "fragments"), one(r.supers, "fragment_pairs"), one(r.repl, "replacements"), before.components().withColumnRenamed("n_trees", "trees_before"), after.components().withColumnRenamed("n_trees", "trees_after"))
