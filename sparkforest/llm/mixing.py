@@ -117,7 +117,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, seed: int = 0, blocks: int
     got = selection.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("selected_tokens"), F.count("*").alias("records"))
     plan = spark.createDataFrame([tuple(q.values()) for q in planned], SHARES)
     filled = plan.join(F.broadcast(got), ["mix_name", "source"], "left").na.fill(0, ["selected_tokens", "records"])
-    share = F.col("selected_tokens") / F.sum("selected_tokens").over(Window.partitionBy("mix_name"))
+    share = F.coalesce(F.try_divide("selected_tokens", F.sum("selected_tokens").over(Window.partitionBy("mix_name"))), F.lit(0.0))
     return selection, filled.withColumn("reached_share", share)
 
 
