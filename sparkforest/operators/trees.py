@@ -36,6 +36,9 @@ def jump(forest: DataFrame, weight: str | None = None, small: bool | None = None
         new = cut(hot_join(now, up, "root").select("id", F.col("up").alias("root"), (F.col("total") + F.col("more")).alias("total"), (F.col("up") != F.col("root")).alias("moved")))
         now = new.select("id", "root", "total")
         if new.where("moved").isEmpty():
+            # A cycle whose length is a power of two stands still as well, on vertices that are no roots.
+            if not now.select(F.col("root").alias("id")).distinct().join(forest.where("id = parent").select("id"), "id", "left_anti").isEmpty():
+                break
             return now
     raise ValueError("the parents have a cycle")
 

@@ -38,6 +38,8 @@ def jump(parent: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
         new = up[up]
         total = total + total[up]
         if (new == up).all():
+            if (parent[up] != up).any():
+                break
             return up, total
         up = new
     raise ValueError("the parents have a cycle")

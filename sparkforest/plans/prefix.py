@@ -23,7 +23,7 @@ def grouped_prefix(df: DataFrame, group: list[str], order: list[str], value: str
     # One row per group and partition; a group has at most as many as there are partitions.
     parts = ranged.groupBy("_part", *group).agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(across), F.lit(0)))
     summed = ranged.withColumn("_run", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(parts.drop("_sum"), ["_part", *group]).withColumn(out, F.col("_run") + F.col("_base")).drop("_part", "_run", "_base")
+    return summed.join(parts.drop("_sum"), ["_part", *group]).select(*df.columns, (F.col("_run") + F.col("_base")).alias(out))
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], out: str, small: bool = False) -> DataFrame:
