@@ -23,7 +23,7 @@ from sparkforest.plans.context import cut
 GRID = 512
 LEVEL_STEP = 4
 NNLS_ROUNDS = 300
-SALT_ROWS = 250_000
+SALT_ROWS = 50_000
 MAX_PACKS = 1_000
 ASSIGNED = "pack_name string, container_id bigint, doc_id bigint, piece_no bigint, piece_tokens bigint"
 
