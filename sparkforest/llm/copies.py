@@ -18,6 +18,8 @@ from sparkforest.plans.groups import map_groups, map_rows
 
 BUCKET_ROWS = 200_000
 TRIE_KEYS = 200_000
+#: Bounds the list of buckets on the driver; beyond BUCKET_ROWS times as many entries the buckets grow instead, not the tries.
+MAX_BUCKETS = 100_000
 HOT_PARTS = 10_000
 HOT_LEAST = 100_000
 SEP = "\x1f"
@@ -96,9 +98,15 @@ def _pre_count(rows: Iterator[dict]) -> Iterator[dict]:
 
 
 def _bucket_count(key: tuple, rows: Iterator[dict]) -> Iterator[dict]:
-    trie = CountingTrie()
+    """Counts one bucket, whose entries come in byte order, so that a full trie may be emptied between two keys."""
+    trie, size, last = CountingTrie(), 0, None
     for r in rows:
-        trie.add(bytes(r["key"]), r["n_copies"], r["keep_id"])
+        k = bytes(r["key"])
+        if size >= TRIE_KEYS and k != last:
+            yield from (_entry(*x) for x in trie.items())
+            trie, size = CountingTrie(), 0
+        size += trie.add(k, r["n_copies"], r["keep_id"])
+        last = k
     yield from (_entry(*x) for x in trie.items())
 
 
@@ -167,13 +175,13 @@ def count_records(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     An empty table gives no record. Rows with a null key are left out.
     """
     partial = cut(map_rows(rows.select("key", "row_id").where(F.col("key").isNotNull()), _pre_count, COUNTED))
-    starts = radix_starts(partial, bucket_rows)
+    starts = radix_starts(partial, max(bucket_rows, partial.count() // MAX_BUCKETS))
 
     def bucketed(batch: Iterator[dict]) -> Iterator[dict]:
         for r in batch:
             yield {**r, "bucket": bisect_right(starts, bytes(r["key"])) - 1}
 
-    return map_groups(map_rows(partial, bucketed, COUNTED + ", bucket int"), ["bucket"], _bucket_count, COUNTED)
+    return map_groups(map_rows(partial, bucketed, COUNTED + ", bucket int"), ["bucket"], _bucket_count, COUNTED, ["key"])
 
 
 def bare_text(column: str) -> F.Column:

@@ -18,6 +18,8 @@ from sparkforest.plans.context import cut
 
 BLOCKS = 100_000
 SHARD_ROWS = 200_000
+#: Bounds the shards, whose quotas are worked out on the driver; the shards of still larger sources grow instead.
+MAX_SHARDS = 4_096
 MAX_TARGETS = 10_000
 SELECTED = "mix_name string, source string, doc_id bigint, n_tokens bigint, repeats bigint"
 SHARES = "mix_name string, source string, target_share double, max_repeats int, block_tokens bigint, quota_blocks bigint, available_tokens bigint, capped boolean"
@@ -90,13 +92,13 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, seed: int = 0, blocks: int
     per = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}  # a row per target at most
     planned = quotas(wanted, {s: r["t"] for s, r in per.items()}, blocks, total_tokens)
 
-    # Shards of a source: a seeded hash spreads its records over as many as keep each near shard_rows.
-    count = {s: max(1, -(-r["n"] // shard_rows)) for s, r in per.items()}
+    # Shards of a source: a seeded hash spreads its records over as many as keep each near shard_rows, up to MAX_SHARDS.
+    count = {s: min(MAX_SHARDS, max(1, -(-r["n"] // shard_rows))) for s, r in per.items()}
     shard_count = F.broadcast(spark.createDataFrame(sorted(count.items()), "source string, shards int"))
     draw = F.xxhash64(F.lit(seed), "doc_id")
     sharded = sized.join(shard_count, "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(~seed), "doc_id"), F.col("shards")).cast("int"))
     held = {}
-    for r in sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).orderBy("source", "shard").collect():  # one row per shard_rows records
+    for r in sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).orderBy("source", "shard").collect():  # at most MAX_SHARDS a source
         held.setdefault(r["source"], []).append((r["shard"], r["t"]))
     rows = []
     for q in planned:
