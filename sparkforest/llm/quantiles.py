@@ -267,3 +267,25 @@ def run_percentiles(runs: DataFrame, section: int = SECTION) -> DataFrame:
     """Median, 90th, 95th and 99th percentile of the run time per filename and batch_size, combined from the sketches of the days."""
     keys = ["filename", "batch_size"]
     return read_percentiles(merge_sketches(day_sketches(runs, section), keys), keys)
+
+
+def bounds_hold(runs: DataFrame, section: int = SECTION) -> DataFrame:
+    """(filename, batch_size, n_values, holds): whether every percentile's true rank, counted over all runs, is within its stated error.
+
+    The counting is exact and runs on the map side first; the percentiles, one row per group, meet the runs by lookup_join.
+    """
+    from sparkforest.plans.joins import lookup_join
+
+    key = F.to_json(F.struct("filename", "batch_size")).alias("group")
+    found = run_percentiles(runs, section).withColumn("group", key)
+    values = run_times(runs).where("total_time is not null").select(key, "total_time")
+    name = lambda r: f"p{r * 100:g}"
+    met = lookup_join(values, found, "group", "inner")
+    counts = [F.count_if(F.col("total_time") < F.col(name(r))).alias(f"b{i}") for i, r in enumerate(PERCENTILES)] + [F.count_if(F.col("total_time") <= F.col(name(r))).alias(f"t{i}") for i, r in enumerate(PERCENTILES)]
+    errors = [F.max(f"rank_error_{name(r)}").alias(f"e{i}") for i, r in enumerate(PERCENTILES)]
+    n = F.col("n_values")
+    good = F.lit(True)
+    for i, r in enumerate(PERCENTILES):
+        slack = F.col(f"e{i}") * n + 1
+        good = good & (F.col(f"b{i}") <= F.lit(r) * n + slack) & (F.col(f"t{i}") >= F.lit(r) * n - slack)
+    return met.groupBy("filename", "batch_size").agg(F.max("n_values").alias("n_values"), *counts, *errors).select("filename", "batch_size", "n_values", good.alias("holds"))

@@ -24,6 +24,10 @@ def p4_day_sketches(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.day_sketches(table(spark, d, "output_data"))
 
 
+def p4_bounds_hold(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.bounds_hold(table(spark, d, "output_data"))
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
@@ -48,12 +52,13 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore_garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p4_percentiles, p4_day_sketches, p6_pack, p6_report, p7_select, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p4_percentiles, p4_day_sketches, p4_bounds_hold, p6_pack, p6_report, p7_select, p7_shares, p8_found, p8_restored)}
 
 _CANON = r"""canon as (select row_id, batch_id, op, lower(regexp_replace(node1, '[^\p{L}\p{Nd}]', '', 'g')) a, lower(regexp_replace(node2, '[^\p{L}\p{Nd}]', '', 'g')) b from edges_to_delete),
   records as (select batch_id, op, least(a, b) node_a, greatest(a, b) node_b, min(row_id) keep_id, count(*) n_copies from canon where a <> '' and b <> '' group by 1, 2, 3, 4)"""
 
 ORACLE = {
     "p2_found": f"with {_CANON} select r.keep_id, c.row_id from canon c join records r on r.batch_id is not distinct from c.batch_id and r.op is not distinct from c.op and r.node_a = least(c.a, c.b) and r.node_b = greatest(c.a, c.b) where c.a <> '' and c.b <> '' and c.row_id <> r.keep_id",
+    "p4_bounds_hold": "select filename, batch_size, count(*) n_values, true holds from (select filename, batch_size, total_time from output_data qualify row_number() over (partition by coalesce(run_id, -row_id - 1) order by loaded_at desc, row_id desc) = 1) where total_time is not null and not isnan(total_time) and total_time <> 0 group by 1, 2",
     "p2_records": f"with {_CANON} select * from records",
 }
