@@ -57,7 +57,23 @@ _LINES = r"""lined as (select l.line_id, l.file_id, f.target_table, f.delimiter,
     when not regexp_full_match(a, '[0-9]+') or not regexp_full_match(b, '[0-9]+') then 'invalid_value'
     when try_cast(a as hugeint) is null or try_cast(b as hugeint) is null or try_cast(a as hugeint) >= num_vertices or try_cast(b as hugeint) >= num_vertices then 'invalid_value' end reason from judged)"""
 
+_RUNS = r"""lined as (select file_id, line_no, list_transform(regexp_extract_all(',' || regexp_replace(raw_line, '[\r\n]+$', ''), ',("(?:[^"]|"")*"|[^",]*)', 1), lambda x: case when x like '"%"' and len(x) > 1 then replace(x[2:-2], '""', '"') else x end) f from run_lines),
+  cells as materialized (select file_id, line_no, unnest(f) v, unnest(range(1, len(f) + 1)) pos from lined),
+  valued as (select *, regexp_extract(v, '^\s*(?:[A-Za-z]*\s*[=:~#<>≈$€£+-])?\s*(-?[0-9][0-9,'' ]*(?:[.][0-9]+)?)\s*[A-Za-z%µ]*\s*$', 1) num from cells where line_no > 1),
+  normal as (select file_id, line_no, pos, case when trim(v) = '' then '' when num <> '' then cast(cast(regexp_replace(num, '[,'' ]', '', 'g') as decimal(30, 8)) as varchar) else trim(v) end x from valued),
+  stat as (select file_id, pos, count(*) filter (trim(v) <> '') filled, count(*) filter (regexp_full_match(v, '[0-9]+')) digits, count(*) filter (regexp_full_match(v, '[0-9]+([.][0-9]+)?')) plain from cells where line_no > 1 group by all),
+  field as materialized (select n.file_id, n.pos, n.v as name, case when coalesce(digits, 0) = coalesce(filled, 0) then 'int' when plain = filled then 'decimal' else 'text' end kind from cells n left join stat s using (file_id, pos) where n.line_no = 1),
+  ends as (select file_id, max(line_no) m from run_lines where line_no > 1 group by 1),
+  head as (select file_id, pos, list(x order by line_no) xs from normal where line_no <= 3 group by all),
+  tail as (select file_id, pos, list(x order by line_no) xs from normal join ends using (file_id) where line_no >= m - 1 group by all),
+  pair as (select file_id, old_id from (select file_id, lag(file_id) over (partition by series_name order by file_seq, file_id) old_id from run_files) where old_id is not null),
+  gone as (select p.file_id, p.old_id, o.name, o.kind, t.xs from pair p join field o on o.file_id = p.old_id left join tail t on t.file_id = o.file_id and t.pos = o.pos where not exists (select 1 from field n where n.file_id = p.file_id and n.name = o.name)),
+  fresh as (select p.file_id, n.name, n.kind, h.xs from pair p join field n on n.file_id = p.file_id left join head h on h.file_id = n.file_id and h.pos = n.pos where not exists (select 1 from field o where o.file_id = p.old_id and o.name = n.name)),
+  renamed as (select g.file_id, g.name old_field, f.name new_field, g.kind old_kind, f.kind new_kind from gone g join fresh f on f.file_id = g.file_id and f.xs = g.xs where list_aggregate(g.xs, 'string_agg', '') <> ''),
+  kept as (select p.file_id, o.name old_field, n.name new_field, o.kind old_kind, n.kind new_kind from pair p join field o on o.file_id = p.old_id join field n on n.file_id = p.file_id and n.name = o.name union all select * from renamed)"""
+
 ORACLE = {
+    "p1_found": f"with {_RUNS} select file_id, 'renamed' as change, old_field, new_field from renamed union all select file_id, 'removed', name, '' from gone g where not exists (select 1 from renamed r where r.file_id = g.file_id and r.old_field = g.name) union all select file_id, 'added', '', name from fresh f where not exists (select 1 from renamed r where r.file_id = f.file_id and r.new_field = f.name) union all select file_id, 'type_changed', old_field, new_field from kept where old_kind <> new_kind",
     "p3_found": f"with {_ENDS} select graph_name, node_id from ends group by all having count(*) >= 0.01 * (select count(*) from graph_edges)",
     "p3_degrees": f"with {_ENDS} select graph_name, node_id, count(distinct other) filter (other <> node_id) degree, count(*) n_rows, count(*) >= 0.01 * (select count(*) from graph_edges) heavy from ends group by 1, 2",
     "p5_found": f"with {_LINES} select line_id, reason from reasoned where reason is not null",
