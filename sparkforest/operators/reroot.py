@@ -21,16 +21,31 @@ def path_by_intervals(forest: DataFrame, repl: DataFrame, small: bool) -> DataFr
     return on.where("pre <= y and y < pre + size").select("id", "parent")
 
 
-def path_by_lifting(forest: DataFrame, repl: DataFrame, small: bool) -> DataFrame:
-    """The same vertices by recorded jumps: ancestors at distances 1, 2, 4 ... are tabled, then from the longest jump down every marked vertex marks its ancestor."""
-    f = forest.select("id", "parent")
-    jumps = [cut(f.where("id <> parent").select("id", F.col("parent").alias("up")))]
+def _jump_tables(forest: DataFrame, small: bool) -> list[DataFrame]:
+    """Tables (id, up) of the ancestors at distances 1, 2, 4 ... as far as there are any."""
+    jumps = [cut(forest.where("id <> parent").select("id", F.col("parent").alias("up")))]
     while True:
         far = jumps[-1].select(F.col("id").alias("up"), F.col("up").alias("far"))
         nxt = cut(hot_join(jumps[-1], far, "up", "inner", small).select("id", F.col("far").alias("up")))
         if nxt.isEmpty():
-            break
+            return jumps
         jumps.append(nxt)
+
+
+def recorded_jumps(forest: DataFrame, small: bool | None = None) -> DataFrame:
+    """(id, ancestor, distance): every vertex' ancestors at the distances that are powers of two."""
+    small = is_small(forest) if small is None else small
+    out: DataFrame | None = None
+    for j, t in enumerate(_jump_tables(forest, small)):
+        own = t.select("id", F.col("up").alias("ancestor"), F.lit(1 << j).cast("bigint").alias("distance"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def path_by_lifting(forest: DataFrame, repl: DataFrame, small: bool) -> DataFrame:
+    """The same vertices by recorded jumps: ancestors at distances 1, 2, 4 ... are tabled, then from the longest jump down every marked vertex marks its ancestor."""
+    f = forest.select("id", "parent")
+    jumps = _jump_tables(f, small)
     marked = repl.select(F.col("u").alias("id")).distinct()
     for j in reversed(jumps):
         marked = cut(marked.unionByName(j.join(marked, "id", "left_semi").select(F.col("up").alias("id"))).distinct())

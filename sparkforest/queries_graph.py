@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from sparkforest.operators import bridges as bridge_ops
 from sparkforest.operators import components, contract, euler, generate, logs, traverse, trees
 from sparkforest.operators import edges as E
+from sparkforest.operators import reroot as reroot_ops
 from sparkforest.plans.context import cut, ensure_checkpoint_dir, table
+from sparkforest.plans.scale import is_small
 from sparkforest.sources import declared_size, read_batch, read_graph, write_batch, write_egr, write_graph, write_records
 from sparkforest.state import ForestState, repair_report
 from sparkforest.streaming.batches import OPERATIONS, ForestStore, run_stream
@@ -236,6 +238,17 @@ def b13_has_edge(spark: SparkSession, d: str) -> DataFrame:
     return E.has_edge(e, first["v"], first["u"])
 
 
+@_query(_sql("select u src, v dst from sym", _NET, _SYM))
+def b11_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours in arrays, taken apart again."""
+    return E.adjacency(net(spark, d)).select("src", F.explode("neighbours").alias("dst"))
+
+
+@_query(_sql("select u, v from edges", _CHAIN))
+def b12_split_packed(spark: SparkSession, d: str) -> DataFrame:
+    return E.unpack(E.pack(chain(spark, d)))
+
+
 # C. traversal
 
 
@@ -275,6 +288,18 @@ def c7_grafted_forest_valid(spark: SparkSession, d: str) -> DataFrame:
     return trees.validate_forest(traverse.spanning_forest(e), e)
 
 
+@_query(_sql("select id, a ancestor, k::bigint distance from anc where k in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096)", _URGENT, _SYM, _CC, _BFS, _BELOW))
+def c10_recorded_jumps(spark: SparkSession, d: str) -> DataFrame:
+    return reroot_ops.recorded_jumps(_forest(urgent(spark, d)))
+
+
+@_query(_sql("select distinct x id from path", _URGENT, _SYM, _CC, _BFS, _CUT, _SUPER))
+def c11_marked_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The vertices from every replacement's end up to its fragment's root, marked by recorded jumps."""
+    r = ForestState.from_edges(urgent(spark, d)).delete(urgent_batch(spark, d)).last()
+    return reroot_ops.path_by_lifting(r.cut, r.repl, is_small(r.cut)).select("id")
+
+
 # D. trees
 
 
@@ -310,6 +335,11 @@ def d9_validate(spark: SparkSession, d: str) -> DataFrame:
     return trees.validate_forest(_forest(e), e)
 
 
+@_query(_sql("select id, max(k)::bigint rank from anc group by id", _CHAIN, _SYM, _CC, _BFS, _BELOW))
+def d10_list_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return trees.jump(_forest(chain(spark, d))).select("id", F.col("total").alias("rank"))
+
+
 @_query(_sql("select min(depth)::bigint min_depth, max(depth)::bigint max_depth, avg(depth) mean_depth, floor((select avg(depth) from (select distinct depth from depth)))::bigint whole_mean_of_distinct_depths, floor(quantile_cont(depth, 0.5))::bigint whole_median_depth from depth", _NET, _SYM, _CC, _BFS, _BELOW, _DEPTH))
 def d11_path_statistics(spark: SparkSession, d: str) -> DataFrame:
     return trees.path_statistics(trees.depths(_forest(net(spark, d))))
@@ -400,6 +430,19 @@ def e1_delete_then_insert(spark: SparkSession, d: str) -> DataFrame:
     return trees.side_by_side(gone.components().withColumnRenamed("n_trees", "trees_deleted"), valid, back.edges.agg(F.count("*").alias("n_edges")))
 
 
+@_query(_sql("select a.rep a, b.rep b from cand e join frag a on a.id = e.u join frag b on b.id = e.v where a.rep < b.rep union select b.rep, a.rep from cand e join frag a on a.id = e.u join frag b on b.id = e.v where a.rep > b.rep", _URGENT, _SYM, _CC, _BFS, _CUT))
+def e12_fragment_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _supers(spark, d).select("a", "b")
+
+
+@_query(_sql("select count(*) n_components from (select distinct rep from sc)", _URGENT, _SYM, _CC, _BFS, _CUT, _SUPER))
+def e15_hooking_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the fragments' graph by rounds of hooking and shortcutting."""
+    pairs = _supers(spark, d).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = components.connected_components(pairs, small=False)
+    return labels.select("rep").distinct().agg(F.count("*").alias("n_components"))
+
+
 # F. Euler tours
 
 
@@ -423,6 +466,19 @@ def f_tour_arcs(spark: SparkSession, d: str) -> DataFrame:
     return euler.tour_arcs(_forest(chain(spark, d)))
 
 
+@_query(_sql("select distinct x id from path", _URGENT, _SYM, _CC, _BFS, _CUT, _SUPER))
+def g2_paths_by_intervals(spark: SparkSession, d: str) -> DataFrame:
+    r = ForestState.from_edges(urgent(spark, d)).delete(urgent_batch(spark, d)).last()
+    return reroot_ops.path_by_intervals(r.cut, r.repl, is_small(r.cut)).select("id")
+
+
+@_query(_sql("select u id, v parent from repl", _URGENT, _SYM, _CC, _BFS, _CUT, _SUPER))
+def g3_attached_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Where fragments were attached: each replacement's end under its new parent, read off the repaired forest."""
+    after = ForestState.from_edges(urgent(spark, d)).delete(urgent_batch(spark, d))
+    return after.forest.join(after.last().repl.select(F.col("u").alias("id")), "id", "left_semi").select("id", "parent")
+
+
 # H. generators and tools
 
 
@@ -467,6 +523,16 @@ def h6_bridges(spark: SparkSession, d: str) -> DataFrame:
     return bridge_ops.bridges(urgent(spark, d))
 
 
+_ROOTED = "top as (select case when c.rep = t.rep then t.id else c.rep end r from (select distinct rep from cc) c, (select id, rep from cc where id = (select max(id) from vert)) t), rf(id, d) using key (id) as (select r, 0 from top union (select s.v, min(b.d) + 1 from rf b join sym s on s.u = b.id where not exists (select 1 from recurring.rf q where q.id = s.v) group by s.v)), rp as (select x.id, coalesce(min(s.u) filter (where y.d = x.d - 1), x.id) p, any_value(x.d) d from rf x join sym s on s.v = x.id join rf y on y.id = s.u group by x.id)"
+
+
+@_query(_sql("select id, p parent, d::bigint level from rp", _URGENT, _SYM, _CC, _ROOTED))
+def h7_bfs_from_given_root(spark: SparkSession, d: str) -> DataFrame:
+    """Breadth-first trees, that of the largest vertex' component rooted at this vertex."""
+    e = urgent(spark, d)
+    return traverse.bfs_forest(e, root=e.agg(F.max("v")).first()[0])
+
+
 @_query()
 def h6_biconnected_components(spark: SparkSession, d: str) -> DataFrame:
     return bridge_ops.biconnected_components(urgent(spark, d))

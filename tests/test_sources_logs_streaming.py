@@ -79,3 +79,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["-i", str(tmp_path / "g.txt"), "-b", str(tmp_path / "b.txt"), "-c"]) == 0
     out = capsys.readouterr().out
     assert "delete: 3 trees" in out and "insert: 2 trees" in out and "valid" in out
+
+
+def test_runner_pairs_batches_with_graphs(tmp_path, monkeypatch):
+    from sparkforest import runner
+
+    for n in ("g.txt", "g_big.txt"):
+        (tmp_path / "graphs").mkdir(exist_ok=True)
+        (tmp_path / "graphs" / n).write_text("0 0\n")
+    (tmp_path / "batches").mkdir()
+    for n in ("g_100.txt", "g_big_100.txt", "other.txt"):
+        (tmp_path / "batches" / n).write_text("0\n")
+    assert [(g.name, b.name) for g, b in runner.pairs(tmp_path / "graphs", tmp_path / "batches")] == [("g.txt", "g_100.txt"), ("g_big.txt", "g_big_100.txt")]
+    monkeypatch.setattr(runner, "run_pair", lambda g, b, t, e: {"filename": g.name, "batch": b.name, "state": "ok", "seconds": 1.0, "delete_trees": "1", "insert_trees": "1"})
+    out = tmp_path / "out.csv"
+    assert runner.main([str(tmp_path / "graphs"), str(tmp_path / "batches"), str(out)]) == 0 and len(out.read_text().splitlines()) == 3
