@@ -31,10 +31,9 @@ def preorder(forest: DataFrame, small: bool | None = None) -> DataFrame:
     # A child's number lies one and the subtrees of its earlier siblings behind its parent's.
     earlier = grouped_prefix(sized.where("id <> parent"), ["parent"], ["id"], "size", "earlier", small)
     steps = sized.where("id = parent").select("id", "parent", F.lit(0).cast("bigint").alias("step")).unionByName(earlier.select("id", "parent", (F.col("earlier") + 1).alias("step")))
-    steps = cut(steps)
-    pre = jump(steps, "step", small).select("id", "root", F.col("total").alias("pre"))
-    depth = jump(steps, None, small).select("id", F.col("total").alias("depth"))
-    return sized.join(pre, "id").join(depth, "id").select("id", "parent", "root", "pre", "size", "depth")
+    steps = cut(steps.withColumn("one", F.lit(1)))
+    at = jump(steps, "step", small, "one").select("id", "root", F.col("total").alias("pre"), F.col("second").alias("depth"))
+    return sized.join(at, "id").select("id", "parent", "root", "pre", "size", "depth")
 
 
 def intervals(forest: DataFrame, small: bool | None = None) -> DataFrame:

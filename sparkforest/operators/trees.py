@@ -11,30 +11,37 @@ from sparkforest.plans.context import cut
 from sparkforest.plans.scale import hot_join, in_one_task, is_small
 
 
-def jump(forest: DataFrame, weight: str | None = None, small: bool | None = None) -> DataFrame:
-    """(id, root, total): the root of every vertex and the sum of ``weight`` (1 without) from the vertex up to, not with, the root.
+def jump(forest: DataFrame, weight: str | None = None, small: bool | None = None, second: str | None = None) -> DataFrame:
+    """(id, root, total[, second]): the root of every vertex and the sum of ``weight`` (1 without) from the vertex up to, not
+    with, the root; likewise of a second column if one is named.
 
     Pointer doubling: a chain of length n takes log2 n rounds, each one join of the table with itself.
     """
-    own = forest.select("id", "parent", (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("w"))
+    sums = {"total": F.lit(1) if weight is None else F.col(weight)} | ({} if second is None else {"second": F.col(second)})
+    own = forest.select("id", "parent", *[c.cast("bigint").alias(n) for n, c in sums.items()])
     if is_small(forest) if small is None else small:
 
         def kernel(given: dict) -> list:
-            (ids, parents, weights) = given["forest"]
-            names, (a, b) = kernels.dense(ids, parents)
             import numpy as np
 
-            parent, weight_ = np.arange(len(names)), np.zeros(len(names), dtype=np.int64)
-            parent[a], weight_[a] = b, weights
-            root, total = kernels.jump(parent, weight_)
-            return [names[a], names[root[a]], total[a]]
-
-        return in_one_task({"forest": own}, kernel, "id bigint, root bigint, total bigint")
-    now = own.select("id", F.col("parent").alias("root"), F.when(F.col("id") == F.col("parent"), 0).otherwise(F.col("w")).alias("total"))
+            ids, parents, *weights = given["forest"]
+            names, (a, b) = kernels.dense(ids, parents)
+            parent, totals = np.arange(len(names)), []
+            parent[a] = b
+            root = parent
+            for w in weights:
+                full = np.zeros(len(names), dtype=np.int64)
+                full[a] = w
+                root, total = kernels.jump(parent, full)
+                totals.append(total[a])
+            return [names[a], names[root[a]], *totals]
+
+        return in_one_task({"forest": own}, kernel, ", ".join(f"{c} bigint" for c in ("id", "root", *sums)))
+    now = own.select("id", F.col("parent").alias("root"), *[F.when(F.col("id") == F.col("parent"), 0).otherwise(F.col(n)).alias(n) for n in sums])
     for _ in range(64):
-        up = now.select(F.col("id").alias("root"), F.col("root").alias("up"), F.col("total").alias("more"))
-        new = cut(hot_join(now, up, "root").select("id", F.col("up").alias("root"), (F.col("total") + F.col("more")).alias("total"), (F.col("up") != F.col("root")).alias("moved")))
-        now = new.select("id", "root", "total")
+        up = now.select(F.col("id").alias("root"), F.col("root").alias("up"), *[F.col(n).alias(f"{n}_up") for n in sums])
+        new = cut(hot_join(now, up, "root").select("id", F.col("up").alias("root"), *[(F.col(n) + F.col(f"{n}_up")).alias(n) for n in sums], (F.col("up") != F.col("root")).alias("moved")))
+        now = new.select("id", "root", *sums)
         if new.where("moved").isEmpty():
             # A cycle whose length is a power of two stands still as well, on vertices that are no roots.
             if not now.select(F.col("root").alias("id")).distinct().join(forest.where("id = parent").select("id"), "id", "left_anti").isEmpty():

@@ -15,6 +15,7 @@ from sparkforest.plans.joins import BROADCAST_ROWS, fits_broadcast
 SMALL_ROWS = 2_000_000
 #: A join whose larger side has at most so many rows needs no care for hot keys.
 CALM_ROWS = 1_000_000
+WIDTH = 4
 HOT_PARTS = 1_000
 
 
@@ -30,7 +31,7 @@ def is_small(*dfs: DataFrame, rows: int = SMALL_ROWS) -> bool:
 
 
 def in_one_task(inputs: dict[str, DataFrame], kernel: Callable[[dict[str, list[np.ndarray]]], list[np.ndarray]], schema: str) -> DataFrame:
-    """Runs a numpy kernel over tables of up to three bigint columns whose size was checked with is_small.
+    """Runs a numpy kernel over tables of up to WIDTH bigint columns whose size was checked with is_small.
 
     The tables are tagged, brought into one partition and handed over as arrays, in the order of their columns.
     """
@@ -40,8 +41,10 @@ def in_one_task(inputs: dict[str, DataFrame], kernel: Callable[[dict[str, list[n
     for i, name in enumerate(names):
         df = inputs[name]
         widths[name] = len(df.columns)
+        if len(df.columns) > WIDTH:
+            raise ValueError(f"at most {WIDTH} columns")
         cols = [F.col(f"`{c}`").cast("bigint").alias(f"c{k}") for k, c in enumerate(df.columns)]
-        cols += [F.lit(0).cast("bigint").alias(f"c{k}") for k in range(len(cols), 3)]
+        cols += [F.lit(0).cast("bigint").alias(f"c{k}") for k in range(len(cols), WIDTH)]
         part = df.select(F.lit(i).alias("tag"), *cols)
         whole = part if whole is None else whole.unionByName(part)
     columns = [x.split()[0] for x in schema.split(", ")]
@@ -51,9 +54,9 @@ def in_one_task(inputs: dict[str, DataFrame], kernel: Callable[[dict[str, list[n
         if held:
             table = pa.Table.from_batches(held)
             tag = table.column("tag").to_numpy()
-            cols = [table.column(f"c{k}").to_numpy() for k in range(3)]
+            cols = [table.column(f"c{k}").to_numpy() for k in range(WIDTH)]
         else:
-            tag, cols = np.empty(0, np.int32), [np.empty(0, np.int64)] * 3
+            tag, cols = np.empty(0, np.int32), [np.empty(0, np.int64)] * WIDTH
         given = {}
         for i, name in enumerate(names):
             at = tag == i
@@ -79,7 +82,10 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sm
     rows = left.count()
     if rows <= CALM_ROWS:
         return left.join(right, key, how)
-    hot = F.broadcast(left.groupBy(key).count().where(F.col("count") >= rows / HOT_PARTS).select(key))
-    few = F.broadcast(right.join(hot, key, "left_semi"))
-    cold = left.join(hot, key, "left_anti").join(right, key, how)
-    return left.join(hot, key, "left_semi").join(few, key, how).unionByName(cold)
+    # At most HOT_PARTS keys; known on the driver, they cost one aggregation instead of one in every branch of the plan.
+    hot = [r[0] for r in left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= rows / HOT_PARTS).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = F.broadcast(right.where(is_hot))
+    return left.where(is_hot).join(few, key, how).unionByName(left.where(~is_hot).join(right, key, how))

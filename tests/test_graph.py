@@ -102,7 +102,7 @@ def test_canonical_drops_loops_nulls_repeats_and_ignores_other_columns(spark, ta
 
 @BOTH
 def test_path_of_many_vertices_takes_few_rounds(spark, small):
-    n = 300 if not small else 1 << 14
+    n = 70 if not small else 1 << 14
     f = spark.range(n).selectExpr("id", "greatest(id - 1, 0) parent")
     assert R.jump(f, small=small).agg({"total": "max"}).first()[0] == n - 1
     p = U.preorder(f, small).where(f"id = {n - 1}").first()
