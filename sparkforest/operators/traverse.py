@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from sparkforest.plans import kernels
 from sparkforest.plans.context import cut
 from sparkforest.plans.scale import hot_join, in_one_task, is_small
 
+LEVELS_HELD = 50
+
 
 def seeds(labels: DataFrame, root: int | None = None) -> DataFrame:
     """(id): the root of each component, its smallest vertex, or ``root`` in the component that holds it."""
@@ -53,13 +57,17 @@ def bfs_from(edges: DataFrame, ids: DataFrame, roots: DataFrame, small: bool) ->
         return in_one_task({"ids": ids.select("id"), "edges": edges.select("u", "v"), "roots": roots.select("id")}, kernel, "id bigint, parent bigint, level bigint")
     sym = cut(symmetrise(edges))
     front = cut(roots.select("id", F.col("id").alias("parent"), F.lit(0).cast("bigint").alias("level")))
-    done = front
-    level = 0
+    before, done, level = front.limit(0), [front], 0
     while not front.isEmpty():
         level += 1
         reached = hot_join(sym, front.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        front = cut(reached.join(done.select("id"), "id", "left_anti").select("id", "parent", F.lit(level).cast("bigint").alias("level")))
-        done = cut(done.unionByName(front))
+        # In an undirected graph the neighbours of a level lie in it, in the one above or in the next.
+        seen = front.select("id").unionByName(before.select("id"))
+        before, front = front, cut(reached.join(seen, "id", "left_anti").select("id", "parent", F.lit(level).cast("bigint").alias("level")))
+        done.append(front)
+        if len(done) > LEVELS_HELD:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+    done = reduce(DataFrame.unionByName, done)
     rest = ids.select("id").join(done.select("id"), "id", "left_anti")
     return done.unionByName(rest.select("id", F.col("id").alias("parent"), F.lit(-1).cast("bigint").alias("level")))
 
