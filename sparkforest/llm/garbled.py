@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkforest.llm.lexicon import LETTER, Lexicon, count_corpus, units
+from sparkforest.llm.lexicon import LETTER, Lexicon, count_corpus, units, whole
 
 LOST = "\ufffd"
 # Single-byte encodings a page may be written in or read with.
@@ -39,7 +39,6 @@ STRANGE = -20.0
 ODD = 8.0
 BROKEN = 9.0
 UNSEEN = 20.0
-RARE = math.log(1e-5)
 CACHE = 400_000
 BEAM = 24
 KEPT = 12
@@ -140,8 +139,6 @@ class Decoder:
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
         self.seen: dict[str, tuple[str, float, str] | None] = {}
-        # A unit is rare below one in 100,000, or where three rows would be as many: small corpora know few words.
-        self.rare = max(RARE, math.log(3.5 / lexicon.total))
         beyond = {c for t in FROM_BYTE.values() for b, c in t.items() if b >= 0x80 and c.isalpha() and c == c.lower()}
         self.alphabet = [c for c in sorted(beyond) if lexicon.count(LETTER + c) > 0]
         self.steps: dict[tuple[str, str], float] = {}
@@ -298,6 +295,11 @@ class Decoder:
         r, (s, channel) = order[0]
         return (r, s - own, channel) if s - own >= UTF8_GAIN and all(self.lexicon.count(u) >= 3 for u in units(r)) else None
 
+    def outweighs(self, reading: str, token: str) -> bool:
+        """Whether a reading is better by its shape, or stands in the corpus at least as often as the token. Words are scored one
+        by one, so "it’s" is less likely than any single word that takes the mark for a letter; counted whole it is not."""
+        return oddness(token) > oddness(reading) or self.lexicon.count(whole(reading)) >= self.lexicon.count(whole(token))
+
     def token(self, token: str) -> tuple[str, float, str] | None:
         """(reading, gain, channel) of the likeliest reading of a token with characters beyond ASCII, or None where it stands best."""
         if token in self.seen:
@@ -310,18 +312,17 @@ class Decoder:
                 best = (r, gain, channel)
         if best is None or best[1] < UTF8_GAIN:
             best = None
-            if any(self.lexicon.log_p(u) < self.rare for u in parts) or oddness(token):
-                # One letter is little evidence for another alphabet, and symbols alone are none.
-                n = sum(map(str.isalpha, token))
-                least = BYTE_GAIN if n > 1 else LETTER_GAIN
-                for r, channel in self.byte_readings(token, n > 1 and own < STRANGE * len(parts)) if LOST not in token else ():
-                    gain = self.score(r) - own
-                    if gain >= least and (best is None or gain > best[1]):
-                        best = (r, gain, channel)
-                if (best is None or oddness(best[0])) and len(token) <= 64:
-                    whole = self.damaged(token)
-                    if whole is not None and (best is None or whole[1] > best[1]):
-                        best = whole
+            # One letter is little evidence for another alphabet, and symbols alone are none.
+            n = sum(map(str.isalpha, token))
+            least = BYTE_GAIN if n > 1 else LETTER_GAIN
+            for r, channel in self.byte_readings(token, n > 1 and own < STRANGE * len(parts)) if LOST not in token else ():
+                gain = self.score(r) - own
+                if gain >= least and self.outweighs(r, token) and (best is None or gain > best[1]):
+                    best = (r, gain, channel)
+            if (best is None or oddness(best[0])) and len(token) <= 64:
+                whole = self.damaged(token)
+                if whole is not None and (best is None or whole[1] > best[1]):
+                    best = whole
         if len(self.seen) > CACHE:
             self.seen.clear()
         self.seen[token] = best

@@ -1,6 +1,6 @@
 """Word and letter frequencies of a whole corpus in a table of fixed size.
 
-The counts live in a count-min sketch: two rows of WIDTH slots, whatever the vocabulary holds. It is summed up from all
+The counts, of words, letters and whole tokens beyond ASCII, live in a count-min sketch: two rows of WIDTH slots. It is summed up from all
 documents, is the only thing about them that reaches the driver, and is small enough to go to every executor.
 """
 
@@ -24,6 +24,9 @@ _WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uff66-\uff9f]")
 WORD_SHARE = 0.9
 TOTAL = "\x00total"
 LETTER = "\x04"
+WHOLE = "\x05"
+_TOKEN = re.compile(r"[^ \t\n\r]+")
+_EDGES = ".,;:!?()\"'"
 
 
 def units(text: str) -> list[str]:
@@ -37,6 +40,16 @@ def units(text: str) -> list[str]:
     return out
 
 
+def whole(token: str) -> str:
+    """The key under which a token is counted as it stands, without case and the punctuation around it."""
+    return WHOLE + token.strip(_EDGES).lower()
+
+
+def counted_units(text: str) -> list[str]:
+    """The units of a text and its whole tokens beyond ASCII."""
+    return units(text) + ([whole(t) for t in _TOKEN.findall(text) if not t.isascii()] if not text.isascii() else [])
+
+
 def letters(word: str) -> Iterator[tuple[str, str]]:
     """(context, context and letter) of every letter of a word and of its end."""
     w = f"\x02{word}\x03"
@@ -53,6 +66,8 @@ def _counted(words: Counter) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
     for w, n in words.items():
         total[w] += n
+        if w[0] == WHOLE:
+            continue
         total[TOTAL] += n
         for context, whole in letters(w):
             total["\x01" + context] += n
@@ -79,7 +94,7 @@ def count_corpus(texts: DataFrame) -> np.ndarray:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    words.update(units(t))
+                    words.update(counted_units(t))
             if len(words) > FLUSH_KEYS:
                 yield from _counted(words)
                 words = Counter()

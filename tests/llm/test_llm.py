@@ -340,3 +340,10 @@ def test_the_count_table_has_a_fixed_size_and_never_counts_too_little(spark):
     lex = lexicon.Lexicon(table)
     assert table.shape == (2, lexicon.WIDTH) and all(lex.count(u) >= n for u, n in want.items())
     assert sum(lex.count(u) == n for u, n in want.items()) >= 0.99 * len(want)
+
+
+def test_a_repeated_garbled_word_is_no_sound_one(spark):
+    corpus = sound_corpus() + ["So naïve a plan holds, it’s said, and „Weiter“ stands here."] * 200
+    docs = [(i, t) for i, t in enumerate(corpus)] + [(1000 + i, "So naďve a plan holds.") for i in range(6)] + [(2000 + i, "A plan that itís said of.") for i in range(3)]
+    got = {r["doc_id"]: r["restored_text"] for r in garbled.restore_garbled(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert {d for d in got if d < 2000} == set(range(1000, 1006)) and got[1000] == "So naïve a plan holds."
