@@ -39,6 +39,7 @@ STRANGE = -20.0
 ODD = 8.0
 BROKEN = 9.0
 UNSEEN = 20.0
+KNOWN = 3
 CACHE = 400_000
 BEAM = 24
 KEPT = 12
@@ -293,7 +294,15 @@ class Decoder:
         if not order or len(order) > 1 and order[0][1][0] - order[1][1][0] < 1.0:
             return None
         r, (s, channel) = order[0]
-        return (r, s - own, channel) if s - own >= UTF8_GAIN and all(self.lexicon.count(u) >= 3 for u in units(r)) else None
+        return (r, s - own, channel) if s - own >= UTF8_GAIN and all(self.lexicon.count(u) >= KNOWN for u in units(r)) else None
+
+    def leftover(self, reading: str, channel: str) -> bool:
+        """Whether a reading still holds what a channel from UTF-8 leaves of a character whose other bytes were lost: a lone
+        lead byte, or a control, in no token the corpus knows."""
+        if _BROKEN.search(reading):
+            return True
+        leads = [_LEAD[w] for w in {c.split(">")[1] for c in channel.split(", ") if c.startswith("utf-8>")} if w in _LEAD]
+        return any(c > "\x7f" and c in lead for lead in leads for c in reading) and self.lexicon.count(whole(reading)) < KNOWN
 
     def outweighs(self, reading: str, token: str) -> bool:
         """Whether a reading is better by its shape, or stands in the corpus at least as often as the token. Words are scored one
@@ -310,7 +319,14 @@ class Decoder:
             gain = self.score(r) - own
             if best is None or gain > best[1]:
                 best = (r, gain, channel)
-        if best is None or best[1] < UTF8_GAIN:
+        if best is not None and best[1] >= UTF8_GAIN:
+            # Intact pairs beside bytes that lost theirs: the lattice reads both, from the token or, if garbled twice, from the reading.
+            if len(token) <= 64 and self.leftover(best[0], best[2]):
+                r, _, channel = best
+                for again, by in ((self.damaged(token), ""), (self.damaged(r), f"{channel}, lost")):
+                    if again is not None and (more := self.score(again[0]) - own) > best[1]:
+                        best = (again[0], more, by or again[2])
+        else:
             best = None
             # One letter is little evidence for another alphabet, and symbols alone are none.
             n = sum(map(str.isalpha, token))
@@ -377,15 +393,16 @@ class Decoder:
             if t.isascii():
                 continue
             r = hits.get(t)
-            new = r[0] if r is not None else t
-            if main is not None and (r is None or r[2] != main):
+            new, channel = (r[0], r[2]) if r is not None else (t, "")
+            # A lattice's reading through the main channel is the same evidence, and more whole.
+            if main is not None and (r is None or r[2].removesuffix(", lost") != main.removesuffix(", lost")):
                 other = self.through(t, main)
                 # A token that is no hit must gain, clearly where UTF-8 is no witness; one of a weaker channel must not lose.
                 least = self.score(t) + (0.0 if main.startswith("utf-8") else UTF8_GAIN) if t not in hits else self.score(t) if r is None or weight[main] > 2 * weight[r[2]] else self.score(new)
                 if other is not None and other != t and self.score(other) >= least:
-                    new = other
+                    new, channel = other, main
             put[t] = new
-            left += bool(_BROKEN.search(new)) or (t in hits and new == t)
+            left += self.leftover(new, channel) or (t in hits and new == t)
         return _TOKEN.sub(lambda m: put.get(m[0], m[0]), line), left
 
     def text(self, text: str | None) -> tuple[str, int, int, list[str]] | None:

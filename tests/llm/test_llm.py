@@ -347,3 +347,15 @@ def test_a_repeated_garbled_word_is_no_sound_one(spark):
     docs = [(i, t) for i, t in enumerate(corpus)] + [(1000 + i, "So naďve a plan holds.") for i in range(6)] + [(2000 + i, "A plan that itís said of.") for i in range(3)]
     got = {r["doc_id"]: r["restored_text"] for r in garbled.restore_garbled(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert {d for d in got if d < 2000} == set(range(1000, 1006)) and got[1000] == "So naïve a plan holds."
+
+
+def test_lost_bytes_beside_intact_pairs_are_restored_or_counted():
+    d = decoder()
+    text = SOUND[2]
+    halves = {w: w.encode("utf-8").decode("cp1252", "ignore") for w in ("соединяет", "поздняя", "письмо", "зелёный")}
+    for word, half in halves.items():
+        assert any(c in half for c in "ÐÑ") and d.token(half)[0] == word
+    line = text.replace("соединяет", halves["соединяет"])
+    assert d.text(line)[0] == text and d.text(line)[2] == 0
+    # No known word fits, so the lone lead bytes stay, and are counted.
+    assert d.text("Ð¿Ð¾Ð·Ð´Ð½ÑÑŽÑŠÑ")[2] == 1
