@@ -13,13 +13,14 @@ import math
 import re
 from collections.abc import Iterator
 from heapq import nlargest
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkforest.llm.lexicon import LETTER, Lexicon, count_corpus, units, whole
+from sparkforest.llm.lexicon import LETTER, WIDE, Lexicon, count_corpus, units, whole
 
 LOST = "\ufffd"
 # Single-byte encodings a page may be written in or read with.
@@ -43,7 +44,8 @@ KNOWN = 3
 CACHE = 400_000
 BEAM = 24
 KEPT = 12
-WILD = 40
+SPAN = 64
+PIECE = 24
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _TOKEN = re.compile(r"[^ \t\n\r]+")
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
@@ -75,6 +77,8 @@ _AS_LATIN = {w: {ord(c): b for c, b in t.items()} for w, t in TO_BYTE.items()}
 # Which readings turn two neighbouring characters into a UTF-8 lead byte and a continuation byte.
 _LEAD = {w: {c for c, b in t.items() if 0xC2 <= b <= 0xF4} for w, t in TO_BYTE.items()}
 _TAIL = {w: {c for c, b in t.items() if 0x80 <= b <= 0xBF} for w, t in TO_BYTE.items()}
+# Continuation bytes that fall out without a mark: those the encoding shows as controls, as a blank or not at all.
+_GONE = {w: [b for b in range(0x80, 0xC0) if "\x80" <= (c := t.get(b, "\x80")) <= "\xa0" or c == "\xad"] for w, t in FROM_BYTE.items()}
 
 
 def to_bytes(text: str, encoding: str) -> bytes | None:
@@ -107,6 +111,16 @@ def wide_reading(text: str, read_as: str) -> str | None:
         return None
 
 
+_second = itemgetter(1)
+
+
+def script(c: str) -> int:
+    """1 Latin, 2 Greek, 3 Cyrillic, 4 others, 5 those that write no spaces, 0 no letter."""
+    if not c.isalpha():
+        return 0
+    return 1 if c < "\u0370" or "\u1e00" <= c <= "\u1eff" else 2 if c < "\u0400" else 3 if c < "\u0530" else 5 if WIDE.match(c) else 4
+
+
 def oddness(text: str) -> float:
     """What speaks against a text by its shape alone: control characters, lost characters, symbols inside words, mixed scripts, capitals after small letters."""
     cost = BROKEN * len(_BROKEN.findall(text))
@@ -140,11 +154,13 @@ class Decoder:
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
         self.seen: dict[str, tuple[str, float, str] | None] = {}
-        beyond = {c for t in FROM_BYTE.values() for b, c in t.items() if b >= 0x80 and c.isalpha() and c == c.lower()}
-        self.alphabet = [c for c in sorted(beyond) if lexicon.count(LETTER + c) > 0]
+        self.alphabets: dict[int, list[str]] = {}
+        self.shared: dict[int, dict[int | None, list[str]]] = {}
+        self.contexts: dict[str, float] = {}
         self.steps: dict[tuple[str, str], float] = {}
         self.strange: dict[str, float] = {}
-        self.likely: dict[str, list[tuple[str, float]]] = {}
+        self.groups: dict[tuple, tuple[str, ...]] = {}
+        self.likely: dict[tuple[str, int], list[tuple[str, float]]] = {}
 
     def stranger(self, c: str) -> float:
         """What speaks against a letter that stands nowhere in the corpus; scripts of thousands of signs are left alone."""
@@ -210,82 +226,176 @@ class Decoder:
                     yield r, f"utf-8>{w}"
 
     def step(self, context: str, c: str) -> float:
-        """Log probability of a letter after the two before it; of anything else 0, or little for what cannot be text."""
+        """Log probability of a letter after the two before it, or the one where pairs are counted; of anything else 0, or little for what cannot be text."""
         p = self.steps.get((context, c))
         if p is None:
             if len(self.steps) > CACHE:
                 self.steps.clear()
-            count = self.lexicon.count
-            p = math.log((count("\x01" + (context + c).lower()) + 0.02) / (count("\x01" + context.lower()) + 4.0)) if c.isalpha() else -BROKEN if _BROKEN.match(c) else 0.0
+                self.contexts.clear()
+            if c.isalpha():
+                before = ("\x02" + context[-1] if WIDE.match(context[-1]) else "\x02") if WIDE.match(c) else context.lower()
+                of = self.contexts.get(before)
+                if of is None:
+                    of = self.contexts[before] = self.lexicon.count("\x01" + before) + 4.0
+                p = math.log((self.lexicon.count("\x01" + before + c.lower()) + 0.02) / of)
+            else:
+                p = -BROKEN if _BROKEN.match(c) else self.lexicon.log_p(c) if c > "\u2000" else 0.0
             self.steps[context, c] = p
         return p
 
-    def wildcard(self, context: str) -> list[tuple[str, float]]:
-        """The letters that a lost one after this context may have been, the likeliest WILD of them, with their log probability.
-        Small letters: case is lost with the byte."""
-        found = self.likely.get(context)
+    def alphabet(self, of: int) -> list[str]:
+        """The small letters beyond ASCII of a script that stand in the corpus; of all that write spaces for 0."""
+        found = self.alphabets.get(of)
+        if found is None:
+            all_of = map(chr, range(0x3000, 0x10000) if of == 5 else range(0x80, 0x3000))
+            found = self.alphabets[of] = [c for c in all_of if c == c.lower() and (s := script(c)) and s in (of or s,) and self.lexicon.count(LETTER + c) > 0]
+        return found
+
+    def sharing(self, lead: int, tail: int | None) -> list[str]:
+        """The characters of the corpus whose UTF-8 has this lead byte of three and, if one is left, this continuation."""
+        found = self.shared.get(lead)
+        if found is None:
+            found = self.shared[lead] = {None: []}
+            for o in range((lead & 15) << 12, ((lead & 15) + 1) << 12):
+                if o >= 0x800 and not 0xD800 <= o < 0xE000 and self.lexicon.count(LETTER + chr(o)) > 0:
+                    for b in {None, *chr(o).encode()[1:]}:
+                        found.setdefault(b, []).append(chr(o))
+        return found.get(tail, [])
+
+    def choices(self, lead: int, tail: int | None, read_as: str, any_byte: bool) -> tuple[str, ...]:
+        """What a lead byte, with the one continuation that is left of two, may have begun. Without a mark where it stood, what
+        fell out must be a byte the encoding does not show."""
+        key = lead, tail, read_as, any_byte
+        found = self.groups.get(key)
+        if found is None:
+            lost = range(0x80, 0xC0) if any_byte else _GONE[read_as]
+            if lead < 0xE0:
+                out = [x for t in lost if (x := bytes((lead, t)).decode()).isalpha()]
+            else:
+                out = []
+                for x in self.sharing(lead, tail):
+                    rest = list(x.encode()[1:])
+                    if tail is not None:
+                        rest.remove(tail)
+                    if all(t in lost for t in rest):
+                        out.append(x)
+            found = self.groups[key] = tuple(out)
+        return found
+
+    def likeliest(self, context: str, of: int | tuple[str, ...]) -> list[tuple[str, float]]:
+        """The likeliest BEAM of some characters, or of a script's letters, after this context, with their log probability;
+        more of one state never stay in the beam. Letters of a script are small: case is lost with the byte."""
+        key = context, of if isinstance(of, int) else id(of)
+        found = self.likely.get(key)
         if found is None:
-            if len(self.likely) > CACHE:
+            if len(self.likely) > CACHE // 4:
                 self.likely.clear()
-            found = self.likely[context] = sorted(((c, self.step(context, c)) for c in self.alphabet), key=lambda x: -x[1])[:WILD]
+            found = self.likely[key] = nlargest(BEAM, [(c, self.step(context, c)) for c in (self.alphabet(of) if isinstance(of, int) else of)], key=lambda x: x[1])
         return found
 
-    def lattice(self, token: str, read_as: str | None) -> list[list[tuple[int, str]]]:
-        """Per position what may be read there: (characters used, text), an empty text standing for any letter the corpus
-        knows. A lost character is such a wildcard; a UTF-8 lead byte whose continuation was lost is one over the letters it may begin."""
+    def lattice(self, token: str, read_as: str | None, odd: bool) -> list[list[tuple[int, str | tuple[str, ...]]]]:
+        """Per position what may be read there: (characters used, text or several to choose from), an empty text standing for any
+        letter the corpus knows. A lost character is such a wildcard; a UTF-8 lead byte whose continuation was lost is one over the letters it may
+        begin, in a token of odd shape also a lead byte of three over the characters that share the bytes that are left."""
         table = TO_BYTE.get(read_as or "", {})
-        out: list[list[tuple[int, str]]] = []
+        out: list[list[tuple[int, str | tuple[str, ...]]]] = []
         for i, c in enumerate(token):
             b = table.get(c, 0)
             after = table.get(token[i + 1], 0) if i + 1 < len(token) else 0
-            ways = [(1, c)]
+            ways: list = [(1, c)]
             if c == LOST:
-                ways.append((1, ""))
-                if token[i + 1 : i + 2] == LOST:
-                    ways.append((2, ""))
+                ways = [(n, "") for n in (1, 2, 3) if token[i : i + n] == LOST * n]
             if 0xC2 <= b <= 0xDF:
                 if 0x80 <= after <= 0xBF:
                     ways = [(2, bytes((b, after)).decode())]
                 else:
-                    used = 2 if token[i + 1 : i + 2] == LOST else 1
-                    ways += [(used, x) for t in range(0x80, 0xC0) if (x := bytes((b, t)).decode()).isalpha()]
+                    marked = token[i + 1 : i + 2] == LOST
+                    if some := self.choices(b, None, read_as, marked or i + 1 == len(token)):
+                        ways.append((1 + marked, some))
                     if b == 0xC3 and after == 0xC2:  # both continuations of a letter read wrongly twice
                         ways.append((2, ""))
-            elif 0xE0 <= b <= 0xEF and i + 2 < len(token) and 0x80 <= after <= 0xBF and 0x80 <= table.get(token[i + 2], 0) <= 0xBF:
-                try:
-                    ways = [(3, bytes((b, after, table[token[i + 2]])).decode())]
-                except UnicodeDecodeError:
-                    pass
+            elif 0xE0 <= b <= 0xEF:
+                used = 1
+                while used < 3 and i + used < len(token) and (token[i + used] == LOST or 0x80 <= table.get(token[i + used], 0) <= 0xBF):
+                    used += 1
+                rest = token[i + 1 : i + used]
+                left, marked = [table[x] for x in rest if x != LOST], LOST in rest
+                if len(left) == 2:
+                    try:
+                        ways = [(3, bytes((b, *left)).decode())]
+                    except UnicodeDecodeError:
+                        pass
+                elif odd and (some := self.choices(b, left[0] if left else None, read_as, marked)):
+                    ways.append((used, some))
             out.append(ways)
         return out
 
-    def viterbi(self, lattice: list[list[tuple[int, str]]]) -> list[str]:
+    def viterbi(self, lattice: list[list[tuple[int, str | tuple[str, ...]]]], of: int) -> list[str]:
         """The likeliest paths by the letters' model, for the words' model to choose from."""
         best: list[dict[str, float]] = [{} for _ in range(len(lattice) + 1)]
         best[0][""] = 0.0
+        steps, likely = self.steps, self.likely
         for i, ways in enumerate(lattice):
             # The beam keeps several states with the same last letters, since the words' model decides last.
-            for text, p in nlargest(BEAM, best[i].items(), key=lambda x: x[1]):
+            states = best[i].items()
+            for text, p in nlargest(BEAM, states, key=_second) if len(states) > BEAM else states:
                 context = ("\x02" + text)[-2:] if text and text[-1].isalpha() else "\x02"
                 for used, c in ways:
                     ends = best[i + used]
-                    for x, gain in ((c, self.step(context, c)),) if c else self.wildcard(context):
+                    if c and c.__class__ is str:
+                        gain = steps.get((context, c))
+                        q = p + (self.step(context, c) if gain is None else gain)
+                        if q > ends.get(text + c, -math.inf):
+                            ends[text + c] = q
+                        continue
+                    group = c or of
+                    for x, gain in likely.get((context, group if group.__class__ is int else id(group))) or self.likeliest(context, group):
                         q = p + gain
                         if q > ends.get(text + x, -math.inf):
                             ends[text + x] = q
-        return [t for t, _ in nlargest(KEPT, best[-1].items(), key=lambda x: x[1])]
+        return [t for t, _ in nlargest(KEPT, best[-1].items(), key=_second)]
+
+    def pieces(self, token: str) -> list[str]:
+        """A long token, such as a clause in a script without spaces, cut between characters, each with some context."""
+        tails = _TAIL["cp1252"] | _TAIL["latin-1"]
+        out, start = [], 0
+        for i in range(1, len(token)):
+            if i - start >= PIECE and token[i] not in tails and LOST not in token[i - 1 : i + 1]:
+                out.append(token[start:i])
+                start = i
+        return [*out, token[start:]]
 
     def damaged(self, token: str) -> tuple[str, float, str] | None:
-        """The likeliest whole reading of a token that lost bytes, if one known word stands out."""
-        own = self.score(token)
+        """The likeliest whole reading of a token that lost bytes, if one known word stands out; of a long one, piece by piece."""
+        if len(token) <= SPAN:
+            return self.one_damaged(token)
+        out, gain, channels = [], 0.0, []
+        for piece in self.pieces(token):
+            r = self.one_damaged(piece) if len(piece) <= 4 * SPAN else None
+            if r is None:
+                r = max(((x, self.score(x) - self.score(piece), c) for x, c in self.readings(piece, False)), key=lambda x: x[1], default=None)
+                r = r if r is not None and r[1] >= UTF8_GAIN else None
+            else:
+                channels.append(r[2])
+            out.append(r[0] if r is not None else piece)
+            gain += r[1] if r is not None else 0.0
+        return ("".join(out), gain, max(channels, key=channels.count)) if channels else None
+
+    def one_damaged(self, token: str) -> tuple[str, float, str] | None:
+        if not any(c.isalpha() for c in token):
+            return None
+        own, odd = self.score(token), oddness(token) > 0
         found: dict[str, tuple[float, str]] = {}
         tried = []
-        for w in (None, "cp1252", "cp1250", "cp1251"):
-            lattice = self.lattice(token, w)
-            if lattice in tried or all(len(ways) == 1 for ways in lattice):
+        scripts = {x for c in token if (x := script(c))}
+        own_script = 5 if 5 in scripts else scripts.pop() if len(scripts) == 1 else 0
+        # A token of sound shape is read through the commonest encodings only.
+        for w in (None, *SINGLE) if odd else (None, "cp1252", "latin-1", "cp1250", "cp1251"):
+            lattice = self.lattice(token, w, odd)
+            if lattice in tried or all(len(ways) == 1 and ways[0][1] for ways in lattice):
                 continue
             tried.append(lattice)
-            for r in self.viterbi(lattice):
+            for r in self.viterbi(lattice, 0 if w else own_script):
                 if r != token and LOST not in r:
                     s = self.score(r)
                     if r not in found or s > found[r][0]:
@@ -321,7 +431,7 @@ class Decoder:
                 best = (r, gain, channel)
         if best is not None and best[1] >= UTF8_GAIN:
             # Intact pairs beside bytes that lost theirs: the lattice reads both, from the token or, if garbled twice, from the reading.
-            if len(token) <= 64 and self.leftover(best[0], best[2]):
+            if self.leftover(best[0], best[2]):
                 r, _, channel = best
                 for again, by in ((self.damaged(token), ""), (self.damaged(r), f"{channel}, lost")):
                     if again is not None and (more := self.score(again[0]) - own) > best[1]:
@@ -335,7 +445,7 @@ class Decoder:
                 gain = self.score(r) - own
                 if gain >= least and self.outweighs(r, token) and (best is None or gain > best[1]):
                     best = (r, gain, channel)
-            if (best is None or oddness(best[0])) and len(token) <= 64:
+            if best is None or oddness(best[0]):
                 whole = self.damaged(token)
                 if whole is not None and (best is None or whole[1] > best[1]):
                     best = whole

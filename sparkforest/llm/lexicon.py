@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 WIDTH = 1 << 20
 FLUSH_KEYS = 300_000
 UNIT = re.compile(r"[^\W\d_]+|[^\w\s\x00-\x7f]")
-_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uff66-\uff9f]")
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uff66-\uff9f]")
 WORD_SHARE = 0.9
 TOTAL = "\x00total"
 LETTER = "\x04"
@@ -33,7 +33,7 @@ def units(text: str) -> list[str]:
     """What is counted of a text: words in lower case, symbols beyond ASCII, and pairs of neighbours where a script writes no spaces."""
     out = []
     for u in UNIT.findall(text.lower()):
-        if u[0] > "\u3000" and _WIDE.match(u):
+        if u[0] > "\u3000" and WIDE.match(u):
             out.extend(u[i : i + 2] for i in range(max(1, len(u) - 1)))
         else:
             out.append(u)

@@ -359,3 +359,14 @@ def test_lost_bytes_beside_intact_pairs_are_restored_or_counted():
     assert d.text(line)[0] == text and d.text(line)[2] == 0
     # No known word fits, so the lone lead bytes stay, and are counted.
     assert d.text("Ð¿Ð¾Ð·Ð´Ð½ÑÑŽÑŠÑ")[2] == 1
+
+
+def test_long_tokens_and_characters_of_three_bytes_lose_bytes_too():
+    d = decoder()
+    text = SOUND[8]
+    read = text.encode().decode("cp1252", "ignore")
+    assert len(read) > 64
+    right = sum(a == b for a, b in zip(d.token(read)[0], text))
+    assert len(d.token(read)[0]) == len(text) and right >= 0.9 * len(text)
+    # A token of lost characters alone gives no evidence of any letter.
+    assert d.token("�") is None and d.token("��") is None
