@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkforest.operators.edges import canonical, symmetrise, vertices_of
+from sparkforest.plans.context import cut
 
 #: File name endings and what they hold.
 FORMATS = {"txt": "text", "edges": "text", "eg2": "text", "egr": "binary", "csr": "binary", "parquet": "parquet"}
 SPLIT_NEIGHBOURS = 4_000_000
+FILL = 1_000_000
 _EDGE = "u bigint, v bigint"
 _NONE = "\x01"  # no line holds it: every line is one field
 
@@ -144,24 +146,47 @@ def write_records(records: DataFrame, path: str) -> None:
 
 
 def write_egr(edges: DataFrame, path: str) -> None:
-    """A binary adjacency file of a graph that fits one task (see plans.scale); ids must be below 2**31. Larger graphs go to parquet."""
-    from sparkforest.plans.scale import in_one_task, is_small
-
-    sym = symmetrise(edges)
-    if not is_small(sym):
-        raise ValueError("the binary format is one file; write graphs of this size as parquet")
-
-    def kernel(given: dict) -> list:
-        src, dst = given["sym"]
-        order = np.lexsort((dst, src))
-        src, dst = src[order], dst[order]
-        n = int(max(src.max(initial=-1), dst.max(initial=-1))) + 1
-        offsets = np.searchsorted(src, np.arange(n + 1)).astype("<i8")
+    """A binary adjacency file of a graph of any size; ids must be from 0 to 2**31 - 1.
+
+    The format is one file, so one task writes it, streaming: first the offsets out of the vertices' degrees in order of id, then
+    the neighbours sorted by both ends. Spark sorts, on disk where need be; the task holds one batch of rows at a time.
+    """
+    sym = cut(symmetrise(edges))
+    size = sym.agg(F.count("*").alias("n"), F.coalesce(F.max("src"), F.lit(-1)).alias("top"), F.coalesce(F.min("src"), F.lit(0)).alias("low")).first()
+    n, n_offsets = size["n"], size["top"] + 2
+    if size["low"] < 0 or size["top"] >= 1 << 31:
+        raise ValueError("the binary format holds ids from 0 to 2**31 - 1")
+    degree = sym.groupBy("src").agg(F.count("*").alias("x")).select(F.lit(0).alias("part"), "src", F.col("x"))
+    first = sym.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("x"))  # an empty graph has a file too
+    rows = first.unionByName(degree).unionByName(sym.select(F.lit(1).alias("part"), "src", F.col("dst").alias("x")))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = _place(path)
         with system.open_output_stream(at) as f:
-            f.write(struct.pack("<QQ", len(offsets), len(dst)))
-            f.write(offsets.tobytes())
-            f.write(dst.astype("<i4").tobytes())
-        return [np.array([len(dst)])]
-
-    in_one_task({"sym": sym}, kernel, "n bigint").collect()
+            f.write(struct.pack("<QQ", n_offsets, n))
+            filled, total = 0, 0  # offsets written, and the neighbours of the vertices before
+
+            def fill(until: int) -> None:
+                nonlocal filled
+                while filled < until:  # vertices without edges, in bounded steps
+                    k = min(until - filled, FILL)
+                    f.write(np.full(k, total, "<i8").tobytes())
+                    filled += k
+
+            done = 0
+            for b in batches:
+                part, src, x = (b.column(i).to_numpy() for i in range(3))
+                at_degrees = part == 0
+                for v, d in zip(src[at_degrees].tolist(), x[at_degrees].tolist()):
+                    fill(v + 1)
+                    total += d
+                dst = x[part == 1]
+                if len(dst):
+                    fill(n_offsets)
+                    f.write(dst.astype("<i4").tobytes())
+                    done += len(dst)
+            fill(n_offsets)
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    # coalesce would sort in one task too; the exchange lets the tables before it keep their tasks.
+    rows.repartition(1).sortWithinPartitions("part", "src", "x").mapInArrow(write, "n bigint").collect()

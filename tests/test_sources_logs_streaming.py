@@ -94,3 +94,23 @@ def test_runner_pairs_batches_with_graphs(tmp_path, monkeypatch):
     monkeypatch.setattr(runner, "run_pair", lambda g, b, t, e: {"filename": g.name, "batch": b.name, "state": "ok", "seconds": 1.0, "delete_trees": "1", "insert_trees": "1"})
     out = tmp_path / "out.csv"
     assert runner.main([str(tmp_path / "graphs"), str(tmp_path / "batches"), str(out)]) == 0 and len(out.read_text().splitlines()) == 3
+
+
+def test_binary_graph_beyond_one_task(spark, table_rows, tmp_path, monkeypatch):
+    from sparkforest.plans import scale
+    from sparkforest.sources import graph_files
+
+    monkeypatch.setattr(scale.is_small, "__kwdefaults__", {"rows": 10})
+    monkeypatch.setattr(graph_files, "FILL", 3, raising=False)
+    pairs = [(i, i + 7) for i in range(5, 60, 5)] + [(5, 100)]
+    p = str(tmp_path / "g.egr")
+    write_egr(spark.createDataFrame(pairs, "u bigint, v bigint"), p)
+    assert table_rows(read_graph(spark, p)) == sorted(pairs, key=repr)
+    near = {v: sorted([b for a, b in pairs if a == v] + [a for a, b in pairs if b == v]) for v in range(101)}
+    offsets = [sum(len(near[w]) for w in range(v)) for v in range(102)]
+    flat = [w for v in range(101) for w in near[v]]
+    assert open(p, "rb").read() == struct.pack("<QQ", 102, len(flat)) + struct.pack("<102q", *offsets) + struct.pack(f"<{len(flat)}i", *flat)
+    write_egr(spark.createDataFrame([], "u bigint, v bigint"), p)
+    assert open(p, "rb").read() == struct.pack("<QQq", 1, 0, 0)
+    with pytest.raises(ValueError, match="ids"):
+        write_egr(spark.createDataFrame([(1, 1 << 31)], "u bigint, v bigint"), p)
