@@ -535,12 +535,17 @@ def h7_bfs_from_given_root(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def h6_biconnected_components(spark: SparkSession, d: str) -> DataFrame:
-    return bridge_ops.biconnected_components(urgent(spark, d))
+    return bridge_ops.biconnected_components(net(spark, d))
 
 
 @_query()
 def h6_cut_vertices(spark: SparkSession, d: str) -> DataFrame:
-    return bridge_ops.cut_vertices(urgent(spark, d))
+    return bridge_ops.cut_vertices(net(spark, d))
+
+
+@_query()
+def h6_bridges_net(spark: SparkSession, d: str) -> DataFrame:
+    return bridge_ops.bridges(net(spark, d))
 
 
 @_query(_sql("select u, v from edges union all select lag(rep) over (order by rep), rep from (select distinct rep from cc) qualify lag(rep) over (order by rep) is not null", _NET, _SYM, _CC))

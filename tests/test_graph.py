@@ -273,3 +273,22 @@ def test_adjacency_is_cut_into_chunks(spark, table_rows):
     a = E.adjacency(star, 4)
     assert a.where("src = 0").count() == 3 and a.selectExpr("max(size(neighbours))").first()[0] == 4
     assert table_rows(E.csr_to_edges(a)) == table_rows(star)
+
+
+def test_bridge_queries_run_over_all_of_graph_edges(spark, table_rows, tmp_path):
+    from sparkforest.queries_graph import GRAPH_BITS, QUERIES
+
+    pairs = random_graph(3, n=25, m=28)
+    spark.createDataFrame([("b",), ("a",)], "graph_name string").write.parquet(str(tmp_path / "graphs.parquet"))
+    rows = [(g, u, v) for g in "ab" for u, v in pairs]
+    spark.createDataFrame(rows, "graph_name string, node1 bigint, node2 bigint").selectExpr("*", "timestamp'2024-01-01' as dumped_at", "timestamp'2024-01-01' as loaded_at").write.parquet(str(tmp_path / "graph_edges.parquet"))
+    real = [(u + (g << GRAPH_BITS), v + (g << GRAPH_BITS)) for g in (1, 2) for u, v in pairs]
+    vertices = {x for e in real for x in e}
+    count = lambda es, ids: len(set(parts(es, ids).values()))
+    whole = count(real, vertices)
+    bridges = sorted((e for e in real if count([x for x in real if x != e], vertices) > whole), key=repr)
+    assert bridges and table_rows(QUERIES["h6_bridges_net"](spark, str(tmp_path))) == bridges
+    cuts = {c for c in vertices if count([e for e in real if c not in e], vertices - {c}) > whole}
+    assert {r[0] for r in QUERIES["h6_cut_vertices"](spark, str(tmp_path)).collect()} == cuts
+    blocks = {(r[0], r[1]): r[2] for r in QUERIES["h6_biconnected_components"](spark, str(tmp_path)).collect()}
+    assert set(blocks) == set(real) and sum(list(blocks.values()).count(blocks[e]) == 1 for e in real) == len(bridges)
