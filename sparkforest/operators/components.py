@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkforest.operators.edges import vertices_of
+from sparkforest.operators.edges import symmetrise, vertices_of
 from sparkforest.plans import kernels
-from sparkforest.plans.context import cut
-from sparkforest.plans.scale import hot_join, in_one_task, is_small
+from sparkforest.plans.context import cut, cut_counted, forget
+from sparkforest.plans.joins import BROADCAST_ROWS
+from sparkforest.plans.scale import CALM_ROWS, fits_task, hot_join, in_one_task, is_small
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, small: bool | None = None) -> DataFrame:
     """(id, rep): every vertex with the smallest vertex of its component.
 
-    ``vertices`` adds those without edges. Small graphs run in one task. Larger ones are contracted: every representative hooks
-    onto its smallest neighbour if that is smaller, chains collapse by pointer jumping, edges inside a component fall away.
+    ``vertices`` adds those without edges. Small graphs run in one task. Larger ones are contracted until they fit one; with
+    small=False they are contracted to the end.
     """
     ids = vertices_of(edges) if vertices is None else vertices.select("id").unionByName(vertices_of(edges)).distinct()
     if is_small(edges, ids) if small is None else small:
@@ -26,39 +27,73 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sm
             return [names, names[kernels.components(len(names), a, b)]]
 
         return in_one_task({"ids": ids.select("id"), "edges": edges.select("u", "v")}, kernel, "id bigint, rep bigint")
-    return _by_contraction(edges, ids)
+    return by_contraction(edges, ids, finish=small is None)
 
 
-def _by_contraction(edges: DataFrame, ids: DataFrame, calm: bool = False) -> DataFrame:
-    labels = cut(ids.select("id", F.col("id").alias("rep")))
-    left = cut(edges.select("u", "v"))
-    while not left.isEmpty():
-        low = left.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("parent"))
-        top = roots_of(cut(_closed(low)), calm)
-        a = hot_join(left, top.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u", "left", calm)
-        b = hot_join(a, top.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v", "left", calm)
+def by_contraction(edges: DataFrame, ids: DataFrame, finish: bool = False) -> DataFrame:
+    """(id, rep) by rounds that contract the graph.
+
+    Each round every vertex takes the first of its edges in an order drawn anew by hashing, so that no numbering makes long
+    chains, and hooks onto what lies up to four such edges away; the edges are rewritten to the vertices hooked onto, and
+    those inside one fall away. At least half of the vertices with edges hook, all but one around a hub. At the end the
+    rounds are followed backwards, the smallest first. With ``finish`` the rest is done in one task as soon as it fits.
+    """
+    left, n = cut_counted(edges.select("u", "v"))
+    hooks: list[tuple[DataFrame, int]] = []
+    while n["rows"]:
+        if finish and fits_task(n["rows"]):
+            hooks.append((cut(connected_components(left, small=True).where("id <> rep")), n["rows"]))
+            break
+        hook, m = _hooked(left, len(hooks), n["rows"])
+        a = hot_join(left, hook.select(F.col("id").alias("u"), F.col("rep").alias("ru")), "u", "left", rows=n["rows"], right_rows=m["rows"])
+        if m["rows"] > BROADCAST_ROWS:
+            a = cut(a)  # the second join reads its left side more than once
+        b = hot_join(a, hook.select(F.col("id").alias("v"), F.col("rep").alias("rv")), "v", "left", rows=n["rows"], right_rows=m["rows"])
         x, y = F.coalesce("ru", "u"), F.coalesce("rv", "v")
-        left = cut(b.where(x != y).select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct())
-        up = hot_join(labels, top.select(F.col("id").alias("rep"), "root"), "rep", "left", calm)
-        labels = cut(up.select("id", F.coalesce("root", "rep").alias("rep")))
-    return labels
-
-
-def _closed(parents: DataFrame) -> DataFrame:
-    """Adds the vertices that only stand as parents, as their own."""
-    tops = parents.select(F.col("parent").alias("id")).distinct().join(parents.select("id"), "id", "left_anti")
-    return parents.select("id", "parent").unionByName(tops.select("id", F.col("id").alias("parent")))
-
-
-def roots_of(forest: DataFrame, calm: bool = False) -> DataFrame:
-    """(id, root) by pointer jumping, every round one join of the table with itself."""
-    now = forest.select("id", F.col("parent").alias("root"))
-    while True:
-        up = now.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        new = cut(hot_join(now, up, "root", "inner", calm).select("id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
-        if new.where("moved").isEmpty():
-            return new.select("id", "root")
-        now = new.select("id", "root")
+        before, (left, n) = left, cut_counted(b.where(x != y).select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct())
+        forget(before, *([a] if m["rows"] > BROADCAST_ROWS else []))
+        hooks.append((hook, m["rows"]))
+    if not hooks:
+        return ids.select("id", F.col("id").alias("rep"))
+    end: DataFrame | None = None
+    total = 0
+    for hook, m in reversed(hooks[1:]):
+        if end is None:
+            end, total = hook, m
+            continue
+        onward = hot_join(hook, end.select(F.col("id").alias("rep"), F.col("rep").alias("top")), "rep", "left", rows=m, right_rows=total).select("id", F.coalesce("top", "rep").alias("rep"))
+        end, k = cut_counted(onward.unionByName(end.join(hook.select("id"), "id", "left_anti")))
+        total = k["rows"]
+    tops = ids.select("id").join(hooks[0][0], "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    if end is not None:
+        tops, k = cut_counted(tops) if total > BROADCAST_ROWS else (tops, {"rows": None})
+        tops = hot_join(tops, end.select(F.col("id").alias("rep"), F.col("rep").alias("top")), "rep", "left", rows=k["rows"], right_rows=total).select("id", F.coalesce("top", "rep").alias("rep"))
+    named, n = cut_counted(tops.select("id", F.col("rep").alias("top")))
+    least, k = cut_counted(named.groupBy("top").agg(F.min("id").alias("rep")))
+    forget(*[h for h, _ in hooks])
+    return hot_join(named, least, "top", rows=n["rows"], right_rows=k["rows"]).select("id", "rep")
+
+
+def _hooked(edges: DataFrame, draw: int, rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """(id, rep) of the vertices that hook. The edge that is first for both its ends is kept by the smaller of them."""
+    calm = rows <= CALM_ROWS
+    first = symmetrise(edges).groupBy(F.col("src").alias("id")).agg(F.min(F.struct(F.xxhash64(F.lit(draw), F.least("src", "dst"), F.greatest("src", "dst")), "dst")).alias("first"))
+    one = first.select("id", F.col("first.dst").alias("to"))
+    one, n = (one, {"rows": rows}) if calm else cut_counted(one)
+    two = hot_join(one, one.select(F.col("id").alias("to"), F.col("to").alias("on")), "to", "inner", calm, n["rows"], n["rows"])
+    # Two of a pair: the smaller one stays, the larger one hooks onto it.
+    own = F.col("on") == F.col("id")
+    two = two.where(~(own & (F.col("id") < F.col("to")))).select("id", F.when(own, F.col("to")).otherwise(F.col("on")).alias("rep"))
+    two, n = (two, {"rows": rows}) if calm else cut_counted(two)
+    four = hot_join(two, two.select(F.col("id").alias("rep"), F.col("rep").alias("on")), "rep", "left", calm, n["rows"], n["rows"])
+    return cut_counted(four.select("id", F.coalesce("on", "rep").alias("rep")))
+
+
+def roots_of(forest: DataFrame) -> DataFrame:
+    """(id, root) by pointer jumping, every round one join of the moving vertices with the table."""
+    from sparkforest.operators.trees import jump
+
+    return jump(forest, small=False).select("id", "root")
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkforest.operators.components import _by_contraction, connected_components
+from sparkforest.operators.components import by_contraction, connected_components
 from sparkforest.operators.traverse import bfs_from, seeds
 from sparkforest.operators.trees import cross_edges, jump
 from sparkforest.plans.context import cut
@@ -40,7 +40,7 @@ def super_forest(supers: DataFrame, method: str = "sg", small: bool | None = Non
     if method == "hs":
         from sparkforest.operators.edges import vertices_of
 
-        labels = _by_contraction(pairs, vertices_of(pairs), small)
+        labels = by_contraction(pairs, vertices_of(pairs))
     elif method == "sg":
         labels = connected_components(pairs, None, small)
     else:

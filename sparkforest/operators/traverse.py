@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from sparkforest.operators.components import connected_components
 from sparkforest.operators.edges import symmetrise
 from sparkforest.plans import kernels
-from sparkforest.plans.context import cut
-from sparkforest.plans.scale import hot_join, in_one_task, is_small
+from sparkforest.plans.context import cut, cut_counted, forget
+from sparkforest.plans.scale import CALM_ROWS, hot_join, hot_keys, in_one_task, is_small
 
-LEVELS_HELD = 50
+MERGED = 16
 
 
 def seeds(labels: DataFrame, root: int | None = None) -> DataFrame:
@@ -55,19 +55,37 @@ def bfs_from(edges: DataFrame, ids: DataFrame, roots: DataFrame, small: bool) ->
             return [names, names[parent], level]
 
         return in_one_task({"ids": ids.select("id"), "edges": edges.select("u", "v"), "roots": roots.select("id")}, kernel, "id bigint, parent bigint, level bigint")
-    sym = cut(symmetrise(edges))
-    front = cut(roots.select("id", F.col("id").alias("parent"), F.lit(0).cast("bigint").alias("level")))
-    before, done, level = front.limit(0), [front], 0
-    while not front.isEmpty():
+    return _bfs_rounds(edges, ids, roots)
+
+
+def _bfs_rounds(edges: DataFrame, ids: DataFrame, roots: DataFrame) -> DataFrame:
+    """A round, which is one job, per level. A round reads the edges and the last two levels; levels are appended, and every
+    MERGED tables of a kind become one, so a row is rewritten as often as the depth has digits to that base."""
+    sym, m = cut_counted(symmetrise(edges))
+    hot = hot_keys(sym, "src", m["rows"]) if m["rows"] > CALM_ROWS else []
+    front, n = cut_counted(roots.select("id", F.col("id").alias("parent"), F.lit(0).cast("bigint").alias("level")))
+    tiers: list[list[DataFrame]] = [[front]]
+    before, level = None, 0
+    while n["rows"]:
         level += 1
-        reached = hot_join(sym, front.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        reached = hot_join(sym, front.select(F.col("id").alias("src")), "src", "left_semi", rows=m["rows"], right_rows=n["rows"], hot=hot)
+        above = reached.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         # In an undirected graph the neighbours of a level lie in it, in the one above or in the next.
-        seen = front.select("id").unionByName(before.select("id"))
-        before, front = front, cut(reached.join(seen, "id", "left_anti").select("id", "parent", F.lit(level).cast("bigint").alias("level")))
-        done.append(front)
-        if len(done) > LEVELS_HELD:
-            done = [cut(reduce(DataFrame.unionByName, done))]
-    done = reduce(DataFrame.unionByName, done)
+        seen = front.select("id") if before is None else front.select("id").unionByName(before.select("id"))
+        before, (front, n) = front, cut_counted(above.join(seen, "id", "left_anti").select("id", "parent", F.lit(level).cast("bigint").alias("level")))
+        tiers[0].append(front)
+        for k in range(len(tiers)):
+            # The two last levels stay as they are, for the rounds still read them.
+            own = tiers[k][:-2] if k == 0 else tiers[k]
+            if len(own) >= MERGED:
+                one = cut(reduce(DataFrame.unionByName, own))
+                forget(*own)
+                tiers[k] = tiers[k][-2:] if k == 0 else []
+                if k + 1 == len(tiers):
+                    tiers.append([])
+                tiers[k + 1].append(one)
+    done = reduce(DataFrame.unionByName, [t for tier in tiers for t in tier])
+    forget(sym)
     rest = ids.select("id").join(done.select("id"), "id", "left_anti")
     return done.unionByName(rest.select("id", F.col("id").alias("parent"), F.lit(-1).cast("bigint").alias("level")))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkforest.operators.edges import degrees, tree_edges
 from sparkforest.plans import kernels
-from sparkforest.plans.context import cut
+from sparkforest.plans.context import cut, cut_counted
 from sparkforest.plans.scale import hot_join, in_one_task, is_small
 
 
@@ -37,17 +39,25 @@ def jump(forest: DataFrame, weight: str | None = None, small: bool | None = None
             return [names[a], names[root[a]], *totals]
 
         return in_one_task({"forest": own}, kernel, ", ".join(f"{c} bigint" for c in ("id", "root", *sums)))
-    now = own.select("id", F.col("parent").alias("root"), *[F.when(F.col("id") == F.col("parent"), 0).otherwise(F.col(n)).alias(n) for n in sums])
-    for _ in range(64):
-        up = now.select(F.col("id").alias("root"), F.col("root").alias("up"), *[F.col(n).alias(f"{n}_up") for n in sums])
-        new = cut(hot_join(now, up, "root").select("id", F.col("up").alias("root"), *[(F.col(n) + F.col(f"{n}_up")).alias(n) for n in sums], (F.col("up") != F.col("root")).alias("moved")))
-        now = new.select("id", "root", *sums)
-        if new.where("moved").isEmpty():
-            # A cycle whose length is a power of two stands still as well, on vertices that are no roots.
-            if not now.select(F.col("root").alias("id")).distinct().join(forest.where("id = parent").select("id"), "id", "left_anti").isEmpty():
-                break
-            return now
-    raise ValueError("the parents have a cycle")
+    return _jump_rounds(own, list(sums))
+
+
+def _jump_rounds(own: DataFrame, sums: list[str]) -> DataFrame:
+    """jump by joins. A vertex that has reached its root is settled: later rounds look it up, but move and write the others only."""
+    is_root = F.col("id") == F.col("parent")
+    start, n = cut_counted(own.select("id", F.col("parent").alias("root"), *[F.when(is_root, 0).otherwise(F.col(c)).cast("bigint").alias(c) for c in sums], is_root.alias("at_root")), left=~F.col("at_root"))
+    parts, moving, left = [start], start.where("not at_root").drop("at_root"), n["left"]
+    while left:
+        settled = [p.where("at_root").drop("at_root") for p in parts]
+        ups = [p.select(F.col("id").alias("root"), F.col("root").alias("up"), *[F.col(c).alias(f"{c}_up") for c in sums], F.lit(i < len(settled)).alias("at_root")) for i, p in enumerate([*settled, moving])]
+        met = hot_join(moving, reduce(DataFrame.unionByName, ups), "root", rows=left, right_rows=n["rows"])
+        new, seen = cut_counted(met.select("id", F.col("up").alias("root"), *[(F.col(c) + F.col(f"{c}_up")).alias(c) for c in sums], "at_root"), left=~F.col("at_root"))
+        if seen["left"] == left:
+            # Of the vertices on a path to a root the next always arrives.
+            raise ValueError("the parents have a cycle")
+        parts.append(new)
+        moving, left = new.where("not at_root").drop("at_root"), seen["left"]
+    return reduce(DataFrame.unionByName, [p.where("at_root").drop("at_root") for p in parts])
 
 
 _FOLDS = {"sum": (F.sum, "add"), "min": (F.min, "minimum"), "max": (F.max, "maximum")}
@@ -69,14 +79,17 @@ def subtree_fold(forest: DataFrame, value: str, fold: str = "sum", small: bool |
             return [names[a], kernels.subtree(parent, val, getattr(np, ufunc))[a]]
 
         return in_one_task({"forest": own}, kernel, "id bigint, value bigint")
-    now = cut(own.select("id", F.when(F.col("id") != F.col("parent"), F.col("parent")).alias("up"), "value"))
-    while not now.where("up is not null").isEmpty():
-        moved = now.where("up is not null").groupBy(F.col("up").alias("id")).agg(agg("value").alias("more"))
+    # Round t takes the vertices with an ancestor at distance 2^t, and hands it what they hold; only they move on.
+    active, n = cut_counted(own.where("id <> parent").select("id", F.col("parent").alias("up"), "value"))
+    given, left = [own.select("id", "value")], n["rows"]
+    while left:
+        moved = active.groupBy(F.col("up").alias("id")).agg(agg("value").alias("more"))
+        given.append(moved.select("id", F.col("more").alias("value")))
+        far = hot_join(active, active.select(F.col("id").alias("up"), F.col("up").alias("far")), "up", rows=left, right_rows=left)
         both = {"sum": F.col("value") + F.coalesce("more", F.lit(0)), "min": F.least("value", "more"), "max": F.greatest("value", "more")}[fold]
-        far = now.select(F.col("id").alias("up"), F.col("up").alias("far"))
-        ahead = now.where("up is null").select("id", "up", "value").unionByName(hot_join(now.where("up is not null"), far, "up").select("id", F.col("far").alias("up"), "value"))
-        now = cut(ahead.join(moved, "id", "left").select("id", "up", both.alias("value")))
-    return now.select("id", "value")
+        active, n = cut_counted(far.join(moved, "id", "left").select("id", F.col("far").alias("up"), both.alias("value")))
+        left = n["rows"]
+    return reduce(DataFrame.unionByName, given).groupBy("id").agg(agg("value").alias("value"))
 
 
 def side_by_side(*one_row: DataFrame) -> DataFrame:

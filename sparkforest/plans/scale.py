@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,27 @@ WIDTH = 4
 HOT_PARTS = 1_000
 
 
+_ROUNDS_ONLY: ContextVar[bool] = ContextVar("rounds_only", default=False)
+
+
+@contextmanager
+def rounds_only() -> Iterator[None]:
+    """Inside, no graph counts as small: everything takes the joins meant for large ones, whatever its size."""
+    token = _ROUNDS_ONLY.set(True)
+    try:
+        yield
+    finally:
+        _ROUNDS_ONLY.reset(token)
+
+
+def fits_task(rows: int) -> bool:
+    return rows <= SMALL_ROWS and not _ROUNDS_ONLY.get()
+
+
 def is_small(*dfs: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """Whether the tables have at most ``rows`` rows together; none is read further than that."""
+    if _ROUNDS_ONLY.get():
+        return False
     left = rows
     for df in dfs:
         n = df.limit(left + 1).count()
@@ -68,24 +89,31 @@ def in_one_task(inputs: dict[str, DataFrame], kernel: Callable[[dict[str, list[n
     return whole.repartition(1).mapInArrow(run, schema)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", small: bool = False) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, n: int) -> list:
+    """The keys that hold at least one in HOT_PARTS of the ``n`` rows: at most HOT_PARTS of them, counted with partial sums."""
+    return [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= n / HOT_PARTS).select(key).collect()]
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", small: bool = False, rows: int | None = None, right_rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Joins ``left``, in which a key may hold a third of all rows, to ``right`` with at most one row per key.
 
-    Small tables are left to the planner. A ``right`` of up to BROADCAST_ROWS rows is broadcast. Otherwise the keys with at
-    least one in HOT_PARTS of the left rows, at most HOT_PARTS of them, take their rows of ``right`` by broadcast, and
-    the other keys an ordinary shuffle. how: inner, left, left_semi or left_anti.
+    Small tables are left to the planner. Of the others, a side of up to BROADCAST_ROWS rows is broadcast, the left one in inner
+    joins only. Otherwise the hot keys take their rows of ``right`` by broadcast and the other keys an ordinary shuffle.
+    ``rows`` and ``right_rows`` spare counting, ``hot`` the search for the hot keys; the inputs are read more than once, so
+    they should be checkpoints or scans. how: inner, left, left_semi or left_anti.
     """
     if small:
         return left.join(right, key, how)
-    if fits_broadcast(right, BROADCAST_ROWS):
+    if how == "inner" and rows is not None and rows <= BROADCAST_ROWS and (right_rows is None or right_rows > rows):
+        return F.broadcast(left).join(right, key)
+    if right_rows <= BROADCAST_ROWS if right_rows is not None else fits_broadcast(right, BROADCAST_ROWS):
         return left.join(F.broadcast(right), key, how)
-    rows = left.count()
-    if rows <= CALM_ROWS:
+    n = left.count() if rows is None else rows
+    if n <= CALM_ROWS:
         return left.join(right, key, how)
-    # At most HOT_PARTS keys; known on the driver, they cost one aggregation instead of one in every branch of the plan.
-    hot = [r[0] for r in left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= rows / HOT_PARTS).select(key).collect()]
-    if not hot:
+    keys = hot_keys(left, key, n) if hot is None else hot
+    if not keys:
         return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
     few = F.broadcast(right.where(is_hot))
     return left.where(is_hot).join(few, key, how).unionByName(left.where(~is_hot).join(right, key, how))

@@ -15,7 +15,7 @@ from sparkforest.operators.reroot import reroot
 from sparkforest.operators.traverse import bfs_forest, spanning_forest
 from sparkforest.plans import kernels
 from sparkforest.plans.context import cut
-from sparkforest.plans.scale import SMALL_ROWS, in_one_task, is_small
+from sparkforest.plans.scale import fits_task, in_one_task, is_small
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ class ForestState:
 
     def _repaired(self, edges: DataFrame, forest: DataFrame, dead: DataFrame, fresh: DataFrame | None, rows: int | None) -> ForestState:
         """dead: the edges taken away. fresh: the only edges that may join two trees, by default all that are left."""
-        small = rows <= SMALL_ROWS if rows is not None else is_small(edges, forest)
+        small = fits_task(rows) if rows is not None else is_small(edges, forest)
         candidates = fresh if fresh is not None else edges
 
         def details() -> Repair:
