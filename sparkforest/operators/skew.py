@@ -66,12 +66,24 @@ def heavy_vertices(edges: DataFrame, share: float = 0.01) -> HeavyKeys:
     return HeavyKeys(counted, limit, total)
 
 
+def pair_rows(edges: DataFrame, graph: str = "graph_name", a: str = "node1", b: str = "node2") -> DataFrame:
+    """(graph_name, low, high, n): the rows of every pair of endpoints in either order, by one aggregation with partial sums.
+
+    The rows of a vertex spread over its pairs, and those of a pair meet as one partial sum a task, so neither a hub nor a
+    pair that holds a third of all rows makes a task longer. With one null endpoint ``high`` is null; rows of two are left out.
+    """
+    x, y = F.col(a), F.col(b)
+    own = edges.where(x.isNotNull() | y.isNotNull()).select(F.col(graph).alias("graph_name"), F.least(x, y).alias("low"), F.when(x.isNotNull() & y.isNotNull(), F.greatest(x, y)).alias("high"))
+    return own.groupBy("graph_name", "low", "high").agg(F.count("*").alias("n"))
+
+
 def vertex_degrees(edges: DataFrame, share: float = 0.01) -> DataFrame:
     """(graph_name, node_id, degree, n_rows, heavy): every vertex's distinct neighbours other than itself and its rows.
 
-    Light vertices: one shuffle on the vertex, both aggregations in it. Heavy vertices: the broadcast list picks their rows,
-    which are made distinct by vertex *and* neighbour, so a vertex with a third of all rows spreads over all tasks and
-    only partial sums meet. A vertex whose only rows are loops or have a null at the other end has degree 0.
+    All rows are first summed up by pair of endpoints, each once for both its ends. Heavy vertices are picked by a broadcast
+    join with their short list, light ones take the ordinary shuffle, and the two parts are united; what is shuffled are
+    partial sums by vertex, so the share names the heavy vertices but no vertex of any size is a long task. A vertex whose
+    only rows are loops or have a null at the other end has degree 0.
     """
     spark = edges.sparkSession
     heavy = heavy_vertices(edges, share)
@@ -79,13 +91,10 @@ def vertex_degrees(edges: DataFrame, share: float = 0.01) -> DataFrame:
     named = [tuple(r) for r in heavy.rows.select("graph_name", "node_id").limit(heavy.limit).collect()]
     types = {f.name: f.dataType.simpleString() for f in heavy.rows.schema.fields}
     listed = F.broadcast(spark.createDataFrame(named, f"graph_name {types['graph_name']}, node_id {types['node_id']}"))
-    ends = endpoints(edges)
-    same = lambda d: (d["graph_name"].eqNullSafe(listed["graph_name"])) & (d["node_id"] == listed["node_id"])
-    real = F.when(F.col("other").isNotNull() & (F.col("other") != F.col("node_id")), 1)
-
-    def counted(per_pair: DataFrame) -> DataFrame:
-        return per_pair.groupBy("graph_name", "node_id").agg(F.count(real).alias("degree"), F.sum("n").alias("n_rows"))
-
-    light = counted(ends.join(listed, same(ends), "left_anti").repartition("graph_name", "node_id").groupBy("graph_name", "node_id", "other").agg(F.count("*").alias("n")))
-    hot = counted(ends.join(listed, same(ends), "left_semi").groupBy("graph_name", "node_id", "other").agg(F.count("*").alias("n")))
+    end = lambda c, d: F.struct(F.col(c).alias("node_id"), F.lit(d).alias("d"))
+    one = F.when(F.col("high").isNull() | (F.col("low") == F.col("high")), F.array(end("low", 0))).otherwise(F.array(end("low", 1), end("high", 1)))
+    ends = pair_rows(edges).select("graph_name", "n", F.explode(one).alias("e")).select("graph_name", "n", "e.node_id", "e.d")
+    same = (ends["graph_name"].eqNullSafe(listed["graph_name"])) & (ends["node_id"] == listed["node_id"])
+    counted = lambda rows: rows.groupBy("graph_name", "node_id").agg(F.sum("d").alias("degree"), F.sum("n").alias("n_rows"))
+    light, hot = counted(ends.join(listed, same, "left_anti")), counted(ends.join(listed, same, "left_semi"))
     return light.withColumn("heavy", F.lit(False)).unionByName(hot.withColumn("heavy", F.lit(True)))

@@ -18,7 +18,7 @@ def p1_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_vertices(table(spark, d, "graph_edges"), 0.01).rows.select("graph_name", "node_id")
+    return p3_degrees(spark, d).where("heavy").select("graph_name", "node_id")
 
 
 def p3_degrees(spark: SparkSession, d: str) -> DataFrame:
