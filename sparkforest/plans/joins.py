@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
 
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most ``rows`` rows; reads no further than that many rows."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most ``rows`` rows, of at most BROADCAST_BYTES together where they hold texts or arrays; reads no
+    further than that many rows."""
+    few = df.limit(rows + 1)
+    if all(isinstance(f.dataType, (NumericType, DatetimeType, BooleanType)) for f in df.schema.fields):
+        return few.count() <= rows
+    n, size = few.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return n <= rows and (size or 0) <= BROADCAST_BYTES
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
