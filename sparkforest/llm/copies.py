@@ -10,16 +10,18 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkforest.plans.context import cut
-from sparkforest.plans.groups import map_groups, map_rows
+from sparkforest.plans.context import cut, cut_counted, forget
+from sparkforest.plans.groups import map_rows
 
 BUCKET_ROWS = 200_000
 TRIE_KEYS = 200_000
-#: Bounds the list of buckets on the driver; beyond BUCKET_ROWS times as many entries the buckets grow instead, not the tries.
-MAX_BUCKETS = 100_000
+#: Bytes by which an oversized bucket is split further in a round.
+RADIX_BYTES = 2
+OUT_ROWS = 10_000
 HOT_PARTS = 10_000
 HOT_LEAST = 100_000
 SEP = "\x1f"
@@ -83,31 +85,52 @@ class CountingTrie:
             todo.extend((at + bytes((b,)), node.children[b]) for b in sorted(node.children, reverse=True))
 
 
-def _entry(key: bytes, n: int, keep: int) -> dict:
-    return {"key": key, "n_copies": n, "keep_id": keep}
-
-
-def _pre_count(rows: Iterator[dict]) -> Iterator[dict]:
+def _emptied(trie: CountingTrie, least: int) -> Iterator[pa.RecordBatch]:
+    """The records of a trie with at least so many copies, in byte order."""
+    keys: list[bytes] = []
+    copies: list[int] = []
+    keep: list[int] = []
+    for k, n, i in trie.items():
+        if n < least:
+            continue
+        keys.append(k)
+        copies.append(n)
+        keep.append(i)
+        if len(keys) >= OUT_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(copies, pa.int64()), pa.array(keep, pa.int64())], names=["key", "n_copies", "keep_id"])
+            keys, copies, keep = [], [], []
+    if keys:
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(copies, pa.int64()), pa.array(keep, pa.int64())], names=["key", "n_copies", "keep_id"])
+
+
+def _pre_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the rows (key, row_id) of a partition in tries of bounded size."""
     trie, size = CountingTrie(), 0
-    for r in rows:
-        size += trie.add(bytes(r["key"]), 1, r["row_id"])
+    for b in batches:
+        for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            size += trie.add(k, 1, i)
         if size >= TRIE_KEYS:
-            yield from (_entry(*x) for x in trie.items())
+            yield from _emptied(trie, 1)
             trie, size = CountingTrie(), 0
-    yield from (_entry(*x) for x in trie.items())
+    yield from _emptied(trie, 1)
 
 
-def _bucket_count(key: tuple, rows: Iterator[dict]) -> Iterator[dict]:
-    """Counts one bucket, whose entries come in byte order, so that a full trie may be emptied between two keys."""
-    trie, size, last = CountingTrie(), 0, None
-    for r in rows:
-        k = bytes(r["key"])
-        if size >= TRIE_KEYS and k != last:
-            yield from (_entry(*x) for x in trie.items())
-            trie, size = CountingTrie(), 0
-        size += trie.add(k, r["n_copies"], r["keep_id"])
-        last = k
-    yield from (_entry(*x) for x in trie.items())
+def _bucket_count(least: int):
+    """Counts buckets out of entries (bucket, key, n_copies, keep_id) in the order of bucket and key: a trie each, emptied
+    between two keys when it is full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, size, last, bucket = CountingTrie(), 0, None, None
+        for b in batches:
+            for at, k, n, i in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if at != bucket or size >= TRIE_KEYS and k != last:
+                    yield from _emptied(trie, least)
+                    trie, size, bucket = CountingTrie(), 0, at
+                size += trie.add(k, n, i)
+                last = k
+        yield from _emptied(trie, least)
+
+    return run
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -115,73 +138,93 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def radix_starts(counted: DataFrame, limit: int) -> list[bytes]:
-    """The first keys of the buckets, ascending: no bucket has more than ``limit`` entries unless all its keys are equal.
+def _merged(parts: list[tuple[bytes, int]], limit: int) -> list[bytes]:
+    """The first keys of neighbouring parts put together as long as they fit: two successive ones never fit into one."""
+    starts: list[bytes] = []
+    held = limit + 1
+    for first, n in sorted(parts):
+        if held + n > limit:
+            starts.append(first)
+            held = 0
+        held += n
+    return starts
 
-    Each round reads the entries of the oversized buckets only and counts them by the bytes up to the first one in which
-    the bucket's keys differ. At most entries/limit buckets are oversized at a time, and each gives at most 257 rows.
+
+def radix_starts(counted: DataFrame, limit: int, entries: int | None = None) -> list[bytes]:
+    """The first keys of the buckets, ascending: no bucket has more than ``limit`` entries unless all its keys are equal, and
+    two neighbours have more than ``limit`` together, so there are at most 2 entries/limit and one.
+
+    Each round splits the oversized buckets by RADIX_BYTES more than their keys have in common. It reads the entries of
+    these buckets only, which the round before has written apart. Small neighbouring parts are put together where they are
+    counted, so that what reaches the driver is in proportion to entries/limit.
     """
-    starts: list[bytes] = [b""]
-    whole = counted.agg(F.count("*"), F.min("key"), F.max("key")).first()
-    if whole[0] <= limit or whole[1] == whole[2]:
-        return starts
+    whole = counted.agg(F.count("*"), F.min("key"), F.max("key")).first() if entries is None or entries > limit else None
+    if whole is None or whole[0] <= limit or whole[1] == whole[2]:
+        return [b""]
+    done: list[tuple[bytes, int]] = []
     # Oversized buckets: first key -> (key after the last, depth of the next split).
-    open_: dict[bytes, tuple[bytes | None, int]] = {b"": (None, common_prefix(bytes(whole[1]), bytes(whole[2])) + 1)}
+    open_: dict[bytes, tuple[bytes | None, int]] = {b"": (None, common_prefix(bytes(whole[1]), bytes(whole[2])) + RADIX_BYTES)}
+    rows, first_round = counted.select("key"), True
     while open_:
         edges = sorted(open_)
         ends, depths = [open_[e][0] for e in edges], [open_[e][1] for e in edges]
 
-        def histogram(rows: Iterator[dict], edges=edges, ends=ends, depths=depths) -> Iterator[dict]:
-            seen: dict[tuple[int, bytes], list] = {}
-            for r in rows:
-                k = bytes(r["key"])
-                i = bisect_right(edges, k) - 1
-                if i < 0 or (ends[i] is not None and k >= ends[i]):
-                    continue
-                s = seen.get(at := (i, k[: depths[i]]))
-                if s is None:
-                    seen[at] = [1, k, k]
-                else:
-                    s[0] += 1
-                    s[1], s[2] = min(s[1], k), max(s[2], k)
-            yield from ({"bucket": i, "prefix": p, "n": n, "low": a, "high": b} for (i, p), (n, a, b) in seen.items())
-
-        found = (
-            map_rows(counted.select("key"), histogram, "bucket int, prefix binary, n bigint, low binary, high binary")
-            .groupBy("bucket", "prefix")
-            .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-            .collect()
-        )
+        def split(batches: Iterator[pa.RecordBatch], edges=edges, ends=ends, depths=depths) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys, where, prefix = [], [], []
+                for k in b.column(0).to_pylist():
+                    i = bisect_right(edges, k) - 1
+                    if i >= 0 and (ends[i] is None or k < ends[i]):
+                        keys.append(k)
+                        where.append(i)
+                        prefix.append(k[: depths[i]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(where, pa.int32()), pa.array(prefix, pa.binary())], names=["key", "bucket", "prefix"])
+
+        before, rows = rows, cut(rows.select("key").mapInArrow(split, "key binary, bucket int, prefix binary"))
+        if not first_round:
+            forget(before)
+        first_round = False
+        parts = rows.groupBy("bucket", "prefix").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        # Parts of more than half the limit stay alone; the others are put together by halves of the limit between two such.
+        before_it = Window.partitionBy("bucket").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        large = F.col("n") > limit / 2
+        bigs, slot = F.coalesce(F.count_if(large).over(before_it), F.lit(0)), F.floor(F.coalesce(F.sum(F.when(large, 0).otherwise(F.col("n"))).over(before_it), F.lit(0)) / (limit / 2))
+        grouped = parts.select("bucket", "prefix", "n", "low", "high", bigs.alias("bigs"), F.when(large, F.lit(-1)).otherwise(slot).alias("slot"))
+        found = grouped.groupBy("bucket", "bigs", "slot").agg(F.min("prefix").alias("first"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
         by: dict[int, list] = {}
         for r in found:
-            by.setdefault(r["bucket"], []).append((bytes(r["prefix"]), r["n"], bytes(r["low"]), bytes(r["high"])))
+            by.setdefault(r["bucket"], []).append((bytes(r["first"]), r["n"], bytes(r["low"]), bytes(r["high"])))
         grown: dict[bytes, tuple[bytes | None, int]] = {}
-        for i, parts in by.items():
-            parts.sort()
-            starts.extend(p for p, *_ in parts[1:])
+        for i, own in by.items():
+            own.sort()
             # The first part keeps the bucket's own start, so that the buckets cover every key.
-            firsts = [edges[i], *(p for p, *_ in parts[1:])]
-            nexts = [*(p for p, *_ in parts[1:]), ends[i]]
-            for first, after, (_, n, low, high) in zip(firsts, nexts, parts):
+            firsts = [edges[i], *(p for p, *_ in own[1:])]
+            nexts = [*firsts[1:], ends[i]]
+            for first, after, (_, n, low, high) in zip(firsts, nexts, own):
                 if n > limit and low != high:
-                    grown[first] = (after, common_prefix(low, high) + 1)
+                    grown[first] = (after, common_prefix(low, high) + RADIX_BYTES)
+                else:
+                    done.append((first, n))
         open_ = grown
-    return sorted(set(starts))
-
+    forget(rows)
+    return _merged(done, limit)
 
-def count_records(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(key, n_copies, keep_id): one row per record of ``rows(key binary, row_id bigint)``; keep_id is the smallest row_id.
 
-    An empty table gives no record. Rows with a null key are left out.
+def count_records(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, least: int = 1) -> DataFrame:
+    """(key, n_copies, keep_id): one row per record of ``rows(key binary, row_id bigint)`` with at least ``least`` copies;
+    keep_id is the smallest row_id. An empty table gives no record. Rows with a null key are left out.
     """
-    partial = cut(map_rows(rows.select("key", "row_id").where(F.col("key").isNotNull()), _pre_count, COUNTED))
-    starts = radix_starts(partial, max(bucket_rows, partial.count() // MAX_BUCKETS))
+    partial, n = cut_counted(rows.select("key", "row_id").where(F.col("key").isNotNull()).mapInArrow(_pre_count, COUNTED))
+    starts = rows.sparkSession.sparkContext.broadcast(radix_starts(partial, bucket_rows, n["rows"]))
 
-    def bucketed(batch: Iterator[dict]) -> Iterator[dict]:
-        for r in batch:
-            yield {**r, "bucket": bisect_right(starts, bytes(r["key"])) - 1}
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = starts.value
+        for b in batches:
+            at = pa.array([bisect_right(of, k) - 1 for k in b.column(0).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([at, *b.columns], names=["bucket", "key", "n_copies", "keep_id"])
 
-    return map_groups(map_rows(partial, bucketed, COUNTED + ", bucket int"), ["bucket"], _bucket_count, COUNTED, ["key"])
+    shuffled = partial.mapInArrow(bucketed, "bucket int, " + COUNTED).repartition("bucket").sortWithinPartitions("bucket", "key")
+    return shuffled.mapInArrow(_bucket_count(least), COUNTED)
 
 
 def bare_text(column: str) -> F.Column:
@@ -221,11 +264,14 @@ def edge_copies(batches: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     Records with at least one part in HOT_PARTS of the rows, of which there are at most HOT_PARTS, are broadcast; the rows
     of the others meet their record in an ordinary shuffle, in which no key is hot any more.
     """
-    rows = edge_operations(batches).where(F.col("key").isNotNull())
-    records = cut(count_records(rows, bucket_rows).where("n_copies > 1"))
-    size = records.agg(F.coalesce(F.sum("n_copies"), F.lit(0))).first()[0]
+    rows = cut(edge_operations(batches).where(F.col("key").isNotNull()))
+    records = cut(count_records(rows, bucket_rows, least=2))
+    size, most = records.agg(F.coalesce(F.sum("n_copies"), F.lit(0)), F.coalesce(F.max("n_copies"), F.lit(0))).first()
     least = max(HOT_LEAST, size // HOT_PARTS + 1)
-    hot = F.broadcast(records.where(F.col("n_copies") >= least).select("key", "keep_id"))
     cold = records.where(F.col("n_copies") < least).select("key", "keep_id")
-    pairs = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key"))
+    if most < least:
+        pairs = rows.join(cold, "key")
+    else:
+        hot = F.broadcast(records.where(F.col("n_copies") >= least).select("key", "keep_id"))
+        pairs = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key"))
     return pairs.where("row_id <> keep_id").select("keep_id", "row_id")

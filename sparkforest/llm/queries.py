@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkforest.llm import copies, garbled, mixing, packing, quantiles
 from sparkforest.plans.context import table
@@ -44,6 +45,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: whether no record is used more often than it may be, and whether the share is met within 0.01."""
+    picked, shares = mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    most = picked.groupBy("mix_name", "source").agg(F.max("repeats").alias("most"))
+    within = (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats")
+    met = (F.abs(F.col("reached_share") - F.col("target_share")) <= 0.01).alias("met")
+    return shares.join(F.broadcast(most), ["mix_name", "source"], "left").select("mix_name", "source", "target_share", "max_repeats", within, met)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore_garbled(table(spark, d, "documents")).select("doc_id")
 
@@ -52,13 +62,14 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore_garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p4_percentiles, p4_day_sketches, p4_bounds_hold, p6_pack, p6_report, p7_select, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p4_percentiles, p4_day_sketches, p4_bounds_hold, p6_pack, p6_report, p7_select, p7_shares, p7_kept, p8_found, p8_restored)}
 
 _CANON = r"""canon as (select row_id, batch_id, op, lower(regexp_replace(node1, '[^\p{L}\p{Nd}]', '', 'g')) a, lower(regexp_replace(node2, '[^\p{L}\p{Nd}]', '', 'g')) b from edges_to_delete),
   records as (select batch_id, op, least(a, b) node_a, greatest(a, b) node_b, min(row_id) keep_id, count(*) n_copies from canon where a <> '' and b <> '' group by 1, 2, 3, 4)"""
 
 ORACLE = {
     "p2_found": f"with {_CANON} select r.keep_id, c.row_id from canon c join records r on r.batch_id is not distinct from c.batch_id and r.op is not distinct from c.op and r.node_a = least(c.a, c.b) and r.node_b = greatest(c.a, c.b) where c.a <> '' and c.b <> '' and c.row_id <> r.keep_id",
+    "p7_kept": "select mix_name, source, target_share, max_repeats, true within_repeats, true met from mix_targets",
     "p4_bounds_hold": "select filename, batch_size, count(*) n_values, true holds from (select filename, batch_size, total_time from output_data qualify row_number() over (partition by coalesce(run_id, -row_id - 1) order by loaded_at desc, row_id desc) = 1) where total_time is not null and not isnan(total_time) and total_time <> 0 group by 1, 2",
     "p2_records": f"with {_CANON} select * from records",
 }

@@ -48,7 +48,7 @@ def test_radix_buckets_stay_small_and_count_like_a_dictionary(spark, monkeypatch
     got = {bytes(x["key"]): (x["n_copies"], x["keep_id"]) for x in copies.count_records(df, 40).collect()}
     want = {k: (n, keys.index(k)) for k, n in Counter(keys).items()}
     assert got == want
-    partial = copies.map_rows(df, copies._pre_count, copies.COUNTED)
+    partial = df.mapInArrow(copies._pre_count, copies.COUNTED)
     starts = copies.radix_starts(partial, 40)
     from bisect import bisect_right
 
@@ -57,10 +57,21 @@ def test_radix_buckets_stay_small_and_count_like_a_dictionary(spark, monkeypatch
     for k in entries:
         sizes.setdefault(bisect_right(starts, k), []).append(k)
     assert all(len(v) <= 40 or len(set(v)) == 1 for v in sizes.values())
+    assert len(starts) <= 2 * len(entries) / 40 + 1 and sizes.keys() <= set(range(1, len(starts) + 1))
     monkeypatch.setattr(copies, "HOT_LEAST", 10)
     assert copies.CountingTrie().add(b"", 1, 1) is True
 
 
+def test_few_buckets_for_many_random_entries(spark):
+    r = random.Random(5)
+    keys = {bytes(r.choices(range(256), k=6)) for _ in range(20_000)}
+    df = spark.createDataFrame([(bytearray(k), i) for i, k in enumerate(keys)], "key binary, row_id bigint").repartition(5)
+    partial = df.mapInArrow(copies._pre_count, copies.COUNTED)
+    starts = copies.radix_starts(partial, 200)
+    assert len(keys) / 200 <= len(starts) <= 2 * len(keys) / 200 + 1 and starts[0] == b""
+    assert {r["n_copies"] for r in copies.count_records(df, 200).collect()} == {1} and copies.count_records(df, 200, least=2).count() == 0
+
+
 def test_trie_bursts_and_keeps_its_counters():
     t, want = copies.CountingTrie(), Counter()
     r = random.Random(2)
@@ -231,6 +242,32 @@ def test_mixes_reach_their_targets_or_their_caps(spark):
         assert rows_of(again) == rows_of(picked)
 
 
+def test_a_mix_is_as_large_as_its_caps_allow_and_blocks_are_drawn_by_seed(spark):
+    assert mixing.mix_size([0.5, 0.5, 0.2], [100, 60, 0], [1, 2, 9]) == 200 and mixing.mix_size([], [], []) == 0
+    r = random.Random(7)
+    docs = [(i, "small" if i % 50 == 0 else "big", r.choice([5, 40, 300])) for i in range(4000)]
+    sizes = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
+    targets = targets_of(spark, [("m", "big", 0.8, 1), ("m", "small", 0.2, 4)])
+    picked, shares = mixing.mix_sources(sizes, targets, seed=1)
+    got = {x["source"]: x for x in shares.collect()}
+    assert all(abs(x["reached_share"] - x["target_share"]) < 0.002 for x in got.values())
+    small = sum(n for _, s, n in docs if s == "small")
+    assert abs(got["small"]["selected_tokens"] - 4 * small) <= 300
+    ids = {x["doc_id"] for x in picked.where("source = 'big'").collect()}
+    other = {x["doc_id"] for x in mixing.mix_sources(sizes, targets, seed=2)[0].where("source = 'big'").collect()}
+    assert 0 < len(ids & other) < len(ids)
+    # Blocks of the seeded order are taken or left whole, but for the records that fill the rest.
+    coarse = mixing.mix_sources(sizes, targets, seed=1, blocks=20)
+    block = coarse[1].first()["block_tokens"]
+    order = sorted((x["draw"], x["doc_id"], x["n_tokens"]) for x in sizes.where("source = 'big'").selectExpr("xxhash64(1, doc_id) draw", "doc_id", "n_tokens").collect())
+    taken = {x["doc_id"] for x in coarse[0].where("source = 'big'").collect()}
+    blocks, at = {}, 0
+    for _, i, n in order:
+        blocks.setdefault(at // block, []).append(i in taken)
+        at += n
+    assert sum(0 < sum(b) < len(b) for b in blocks.values()) <= mixing.FILLS and any(all(b) for b in blocks.values()) and any(not any(b) for b in blocks.values())
+
+
 def test_mixing_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint")
     picked, shares = mixing.mix_sources(none, targets_of(spark, [("m", "a", 1.0, 1)]))
