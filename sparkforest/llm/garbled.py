@@ -8,6 +8,7 @@ garbled if that reading beats the text as it stands by more than chance.
 
 from __future__ import annotations
 
+import codecs
 import html
 import math
 import re
@@ -20,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkforest.llm.lexicon import LETTER, WIDE, Lexicon, count_corpus, units, whole
+from sparkforest.llm.lexicon import LETTER, WIDE, Lexicon, count_rows, sketch, units, whole
+from sparkforest.plans.context import cut
 
 LOST = "\ufffd"
 # Single-byte encodings a page may be written in or read with.
@@ -42,6 +44,8 @@ BROKEN = 9.0
 UNSEEN = 20.0
 KNOWN = 3
 CACHE = 400_000
+#: Tokens decided on once for all tasks.
+SHARED = 100_000
 BEAM = 24
 KEPT = 12
 SPAN = 64
@@ -75,8 +79,16 @@ TO_BYTE = {w: _table(w) for w in SINGLE}
 FROM_BYTE = {w: {b: c for c, b in reversed(t.items())} for w, t in TO_BYTE.items()}
 _AS_LATIN = {w: {ord(c): b for c, b in t.items()} for w, t in TO_BYTE.items()}
 # Which readings turn two neighbouring characters into a UTF-8 lead byte and a continuation byte.
+_BIT = {w: 1 << i for i, w in enumerate(SINGLE)}
 _LEAD = {w: {c for c, b in t.items() if 0xC2 <= b <= 0xF4} for w, t in TO_BYTE.items()}
 _TAIL = {w: {c for c, b in t.items() if 0x80 <= b <= 0xBF} for w, t in TO_BYTE.items()}
+_LEAD_BITS: dict[str, int] = {}
+_TAIL_BITS: dict[str, int] = {}
+for _w in SINGLE:
+    for _of, _bits in ((_LEAD, _LEAD_BITS), (_TAIL, _TAIL_BITS)):
+        for _c in _of[_w]:
+            _bits[_c] = _bits.get(_c, 0) | _BIT[_w]
+_AS_TEXT = {w: "".join(t[b] for b in range(256)) for w, t in FROM_BYTE.items()}
 # Continuation bytes that fall out without a mark: those the encoding shows as controls, as a blank or not at all.
 _GONE = {w: [b for b in range(0x80, 0xC0) if "\x80" <= (c := t.get(b, "\x80")) <= "\xa0" or c == "\xad"] for w, t in FROM_BYTE.items()}
 
@@ -154,6 +166,7 @@ class Decoder:
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
         self.seen: dict[str, tuple[str, float, str] | None] = {}
+        self.taken: dict[str, tuple[str, float, str] | None] | None = None
         self.alphabets: dict[int, list[str]] = {}
         self.shared: dict[int, dict[int | None, list[str]]] = {}
         self.contexts: dict[str, float] = {}
@@ -161,6 +174,12 @@ class Decoder:
         self.strange: dict[str, float] = {}
         self.groups: dict[tuple, tuple[str, ...]] = {}
         self.likely: dict[tuple[str, int], list[tuple[str, float]]] = {}
+        self.sorted: dict[int, list[list[str]]] = {}
+
+    def take(self, decided: pa.Table) -> None:
+        """Takes over decisions made elsewhere with the same counts."""
+        if self.taken is None:
+            self.taken = {t: None if r is None else (r, g, c) for t, r, g, c in zip(*(decided.column(i).to_pylist() for i in range(4)))}
 
     def stranger(self, c: str) -> float:
         """What speaks against a letter that stands nowhere in the corpus; scripts of thousands of signs are left alone."""
@@ -174,11 +193,14 @@ class Decoder:
 
     def readings(self, token: str, deep: bool = True) -> Iterator[tuple[str, str]]:
         """(reading, channel): what the token may have been before UTF-8 was read wrongly, once or twice."""
-        pairs = {(a, b) for a, b in zip(token, token[1:]) if a > "\x7f" and b > "\x7f"}
+        # The encodings in which two neighbouring characters are a lead byte and a continuation.
+        bits = 0
+        for a, b in zip(token, token[1:]):
+            if a > "\x7f" and b > "\x7f":
+                bits |= _LEAD_BITS.get(a, 0) & _TAIL_BITS.get(b, 0)
         found, once = set(), set()
-        for w in SINGLE if pairs else ():
-            lead, tail = _LEAD[w], _TAIL[w]
-            if not any(a in lead and b in tail for a, b in pairs):
+        for w in SINGLE if bits else ():
+            if not bits & _BIT[w]:
                 continue
             r = utf8_reading(token, w)
             if r == token or r in once:
@@ -203,8 +225,7 @@ class Decoder:
             for e in SINGLE:
                 if e == w:
                     continue
-                table = FROM_BYTE[e]
-                r = "".join([table[b] for b in raw])
+                r = codecs.charmap_decode(raw, "strict", _AS_TEXT[e])[0]
                 if r not in found:
                     found.add(r)
                     if known(r):
@@ -282,6 +303,20 @@ class Decoder:
             found = self.groups[key] = tuple(out)
         return found
 
+    def gains(self, context: str, letters: list[str] | tuple[str, ...]) -> list[tuple[str, float]]:
+        """step for many letters: the BEAM likeliest with their log probability."""
+        sorts = self.sorted.get(id(letters))
+        if sorts is None:
+            kind = [0 if not c.isalpha() else 2 if c > "\u3000" and WIDE.match(c) else 1 for c in letters]
+            sorts = self.sorted[id(letters)] = [[c for c, k in zip(letters, kind) if k == i] for i in range(3)]
+        out = [(c, self.step(context, c)) for c in sorts[0]]
+        for some, before in ((sorts[1], context.lower()), (sorts[2], "\x02" + context[-1] if WIDE.match(context[-1]) else "\x02")):
+            if some:
+                n = self.lexicon.counts(["\x01" + before + c.lower() for c in some])
+                p = np.log((n + 0.02) / (self.lexicon.count("\x01" + before) + 4.0))
+                out += [(some[i], float(p[i])) for i in np.argsort(-p, kind="stable")[:BEAM]]
+        return nlargest(BEAM, out, key=_second)
+
     def likeliest(self, context: str, of: int | tuple[str, ...]) -> list[tuple[str, float]]:
         """The likeliest BEAM of some characters, or of a script's letters, after this context, with their log probability;
         more of one state never stay in the beam. Letters of a script are small: case is lost with the byte."""
@@ -290,7 +325,7 @@ class Decoder:
         if found is None:
             if len(self.likely) > CACHE // 4:
                 self.likely.clear()
-            found = self.likely[key] = nlargest(BEAM, [(c, self.step(context, c)) for c in (self.alphabet(of) if isinstance(of, int) else of)], key=lambda x: x[1])
+            found = self.likely[key] = self.gains(context, self.alphabet(of) if isinstance(of, int) else of)
         return found
 
     def lattice(self, token: str, read_as: str | None, odd: bool) -> list[list[tuple[int, str | tuple[str, ...]]]]:
@@ -423,6 +458,8 @@ class Decoder:
         """(reading, gain, channel) of the likeliest reading of a token with characters beyond ASCII, or None where it stands best."""
         if token in self.seen:
             return self.seen[token]
+        if self.taken is not None and token in self.taken:
+            return self.taken[token]
         own, parts = self.score(token), units(token)
         best: tuple[str, float, str] | None = None
         for r, channel in self.readings(token):
@@ -547,26 +584,51 @@ RESTORED = "doc_id bigint, restored_text string, garbled_lines int, damaged_toke
 _DECODERS: dict[int, Decoder] = {}
 
 
+def _decoder(table: np.ndarray) -> Decoder:
+    decoder = _DECODERS.get(id(table))
+    if decoder is None:
+        _DECODERS.clear()
+        decoder = _DECODERS[id(table)] = Decoder(Lexicon(table))
+    return decoder
+
+
+def decide(tokens: DataFrame, table) -> DataFrame:
+    """(token, reading, gain, channel) of every token of ``tokens(token)``; reading is null where the token stands best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = _decoder(table.value)
+        for b in batches:
+            own = b.column(0).to_pylist()
+            found = [decoder.token(t) or (None, None, None) for t in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.string())))], names=["token", "reading", "gain", "channel"])
+
+    return tokens.mapInArrow(run, "token string, reading string, gain double, channel string")
+
+
 def restore_garbled(documents: DataFrame) -> DataFrame:
     """(doc_id, restored_text, garbled_lines, damaged_tokens, channels): the documents with text decoded wrongly, one row each.
 
-    Pass 1 counts the words of all documents into a table of fixed size; pass 2 decodes every line of every whole text
-    against it. damaged_tokens counts what could not be restored; where it is 0 the text is whole again. Documents
-    without text, and sound ones, give no row. No row is shuffled; the table, 8 MB whatever the corpus holds, is broadcast.
+    Pass 1 counts the words of all documents into a table of fixed size, and the tokens beyond ASCII. The SHARED most frequent
+    of these are decided on once, spread over all tasks; every task decides on the others itself, and remembers. Pass 2
+    decodes every line of every whole text with these decisions. damaged_tokens counts what could not be restored; where
+    it is 0 the text is whole again. Documents without text, and sound ones, give no row. No text is shuffled; the table,
+    8 MB whatever the corpus holds, and the shared decisions, at most SHARED tokens of SHARED_CHARS, are broadcast.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    sc = documents.sparkSession.sparkContext
     own = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    shared = documents.sparkSession.sparkContext.broadcast(count_corpus(own).astype(np.float32))
+    counted = cut(count_rows(own))
+    shared = sc.broadcast(sketch(counted).astype(np.float32))
+    # Tokens dear to decide on lie anywhere: many small tasks share the work.
+    often = counted.where("token is not null").orderBy(F.col("n").desc(), "token").limit(SHARED).select("token").repartition(4 * sc.defaultParallelism, "token")
+    decided = sc.broadcast(decide(often, shared).toArrow())
     arrow = to_arrow_schema(StructType.fromDDL(RESTORED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        decoder = _DECODERS.get(id(table))
-        if decoder is None:
-            _DECODERS.clear()
-            decoder = _DECODERS[id(table)] = Decoder(Lexicon(table))
+        decoder = _decoder(shared.value)
+        decoder.take(decided.value)
         for b in batches:
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 WIDTH = 1 << 20
 FLUSH_KEYS = 300_000
+SHARED_CHARS = 500
 UNIT = re.compile(r"[^\W\d_]+|[^\w\s\x00-\x7f]")
 WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uff66-\uff9f]")
 WORD_SHARE = 0.9
@@ -45,9 +46,13 @@ def whole(token: str) -> str:
     return WHOLE + token.strip(_EDGES).lower()
 
 
+def tokens_beyond_ascii(text: str) -> list[str]:
+    return [] if text.isascii() else [t for t in _TOKEN.findall(text) if not t.isascii()]
+
+
 def counted_units(text: str) -> list[str]:
     """The units of a text and its whole tokens beyond ASCII."""
-    return units(text) + ([whole(t) for t in _TOKEN.findall(text) if not t.isascii()] if not text.isascii() else [])
+    return units(text) + [whole(t) for t in tokens_beyond_ascii(text)]
 
 
 def letters(word: str) -> Iterator[tuple[str, str]]:
@@ -57,6 +62,9 @@ def letters(word: str) -> Iterator[tuple[str, str]]:
         yield w[max(0, i - 2) : i], w[max(0, i - 2) : i + 1]
 
 
+_hash = xxhash.xxh64_intdigest
+
+
 def slots(unit: str) -> tuple[int, int]:
     h = xxhash.xxh64_intdigest(unit)
     return h & (WIDTH - 1), (h >> 32) & (WIDTH - 1)
@@ -86,38 +94,78 @@ def _counted(words: Counter) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([where[k] for k in part], pa.int64())], names=["slot", "n"])
 
 
-def count_corpus(texts: DataFrame) -> np.ndarray:
-    """The filled sketch, shape (2, WIDTH), of the column ``text`` over all rows. Null texts count nothing."""
+def count_rows(texts: DataFrame) -> DataFrame:
+    """(slot, token, n): over the column ``text`` of all rows, what falls into every slot of the sketch (token null), and how often
+    every token beyond ASCII of up to SHARED_CHARS characters stands there as it is (slot null). Null texts count nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
+        tokens: Counter = Counter()
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for t, n in tokens.items():
+                words[whole(t)] += n
+            for b in _counted(words):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.string()), b.column(1)], names=["slot", "token", "n"])
+            own = [(t, n) for t, n in tokens.items() if len(t) <= SHARED_CHARS]
+            for i in range(0, len(own), 10_000):
+                part = own[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int32()), pa.array([t for t, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["slot", "token", "n"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    words.update(counted_units(t))
-            if len(words) > FLUSH_KEYS:
-                yield from _counted(words)
-                words = Counter()
-        if words:
-            yield from _counted(words)
-
-    rows = texts.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * WIDTH rows
+                    words.update(units(t))
+                    tokens.update(tokens_beyond_ascii(t))
+            if len(words) + len(tokens) > FLUSH_KEYS:
+                yield from flushed()
+                words, tokens = Counter(), Counter()
+        if words or tokens:
+            yield from flushed()
+
+    return texts.select("text").mapInArrow(run, "slot int, token string, n bigint").groupBy("slot", "token").agg(F.sum("n").alias("n"))
+
+
+def sketch(counted: DataFrame) -> np.ndarray:
+    """The filled sketch, shape (2, WIDTH), out of count_rows."""
+    rows = counted.where("slot is not null").select("slot", "n").toArrow()  # at most 2 * WIDTH rows
     table = np.zeros(2 * WIDTH, dtype=np.int64)
     table[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
     return table.reshape(2, WIDTH)
 
 
+def count_corpus(texts: DataFrame) -> np.ndarray:
+    return sketch(count_rows(texts))
+
+
 class Lexicon:
-    """Looks counts up and turns them into log probabilities."""
+    """Looks counts up and turns them into log probabilities.
+
+    A slot counts its unit and what else fell into it; half of the slots hold no more than the median of foreign counts, which is taken
+    off, so that in a table filled by a large corpus a unit that never stood there is not taken for a known one. Of a corpus
+    of N units, the count is too large by more than 2 N / WIDTH for at most a quarter of the units.
+    """
 
     def __init__(self, table: np.ndarray) -> None:
-        self.first, self.second = table[0], table[1]
+        self.first, self.second = (np.maximum(row - np.median(row), 0) for row in table)
+        self._counts: dict[str, int] = {}
         self.total = max(1, self.count(TOTAL))
         self._known: dict[str, float] = {}
 
     def count(self, unit: str) -> int:
-        a, b = slots(unit)
-        return int(min(self.first[a], self.second[b]))
+        n = self._counts.get(unit)
+        if n is None:
+            if len(self._counts) > 1_000_000:
+                self._counts.clear()
+            a, b = slots(unit)
+            n = self._counts[unit] = int(min(self.first[a], self.second[b]))
+        return n
+
+    def counts(self, keys: list[str]) -> np.ndarray:
+        """The counts of many units at once."""
+        h = np.array([_hash(u) for u in keys], dtype=np.uint64)
+        mask = np.uint64(WIDTH - 1)
+        return np.minimum(self.first[(h & mask).astype(np.int64)], self.second[((h >> np.uint64(32)) & mask).astype(np.int64)]).astype(np.int64)
 
     def by_letters(self, word: str) -> float:
         """Log probability of a word by its letters, each after the two before it."""

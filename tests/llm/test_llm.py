@@ -379,6 +379,27 @@ def test_the_count_table_has_a_fixed_size_and_never_counts_too_little(spark):
     assert sum(lex.count(u) == n for u, n in want.items()) >= 0.99 * len(want)
 
 
+def test_a_filled_table_does_not_take_unseen_words_for_known_ones():
+    r = np.random.default_rng(1)
+    table = np.stack([np.bincount(r.integers(0, lexicon.WIDTH, 8 * lexicon.WIDTH), minlength=lexicon.WIDTH) for _ in range(2)]).astype(np.int64)
+    a, b = lexicon.slots("brücke")
+    table[0, a] += 500
+    table[1, b] += 500
+    full = lexicon.Lexicon(table)
+    unseen = [full.count(f"w{i}") for i in range(2000)]
+    # Eight foreign counts a slot are taken off; both slots of a word would have to lie well above that.
+    assert 490 <= full.count("brücke") <= 510 and np.mean([n == 0 for n in unseen]) > 0.6 and max(unseen) < 20
+    assert full.counts(["brücke", "w1"]).tolist() == [full.count("brücke"), full.count("w1")]
+
+
+def test_decisions_shared_or_not_are_the_same(spark, monkeypatch):
+    texts = [(i, t) for i, t in enumerate(SOUND + [SOUND[0].encode().decode("cp1252", "replace"), SOUND[2].encode("cp1251").decode("latin-1")] * 3)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    shared = rows_of(garbled.restore_garbled(docs))
+    monkeypatch.setattr(garbled, "SHARED", 1)
+    assert shared and rows_of(garbled.restore_garbled(docs)) == shared
+
+
 def test_a_repeated_garbled_word_is_no_sound_one(spark):
     corpus = sound_corpus() + ["So naïve a plan holds, it’s said, and „Weiter“ stands here."] * 200
     docs = [(i, t) for i, t in enumerate(corpus)] + [(1000 + i, "So naďve a plan holds.") for i in range(6)] + [(2000 + i, "A plan that itís said of.") for i in range(3)]
