@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,47 @@ def _hooked(edges: DataFrame, draw: int, rows: int) -> tuple[DataFrame, dict[str
     return cut_counted(four.select("id", F.coalesce("on", "rep").alias("rep")))
 
 
+def hooked_forest(edges: DataFrame, small: bool | None = None) -> DataFrame:
+    """(u, v): the connecting edges recorded when components are found by hooking, a spanning forest of the graph.
+
+    Every round each component hooks along its first outgoing edge in the order of (u, v), pointer jumping closes the trees,
+    and of the edges between two components only the first goes on. The order makes the forest unique, and a round at
+    least halves the components that have edges.
+    """
+    own = edges.select("u", "v")
+    if is_small(own) if small is None else small:
+
+        def kernel(given: dict) -> list:
+            import numpy as np
+
+            (u, v) = given["edges"]
+            order = np.lexsort((v, u))
+            u, v = u[order], v[order]
+            names, (a, b) = kernels.dense(u, v)
+            at = kernels.least_forest(len(names), a, b)
+            return [u[at], v[at]]
+
+        return in_one_task({"edges": own}, kernel, "u bigint, v bigint")
+    left, n = cut_counted(own.select(F.col("u").alias("a"), F.col("v").alias("b"), F.struct("u", "v").alias("edge")))
+    taken: list[DataFrame] = []
+    while n["rows"]:
+        ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))
+        first = left.select("edge", F.explode(ends).alias("e")).groupBy("e.id").agg(F.min(F.struct("edge", "e.to")).alias("f"))
+        hook, m = cut_counted(first.select("id", "f.to", "f.edge"))
+        taken.append(hook.select("edge.*").distinct())
+        # Two components may choose the same edge; the smaller one stays.
+        twin = hook.select(F.col("id").alias("to"), F.col("to").alias("back"))
+        up = hot_join(hook, twin, "to", rows=m["rows"], right_rows=m["rows"])
+        forest = cut(up.select("id", F.when((F.col("back") == F.col("id")) & (F.col("id") < F.col("to")), F.col("id")).otherwise(F.col("to")).alias("parent")))
+        top, k = cut_counted(roots_of(forest))
+        x = cut(hot_join(left, top.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", rows=n["rows"], right_rows=k["rows"]))
+        y = hot_join(x, top.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", rows=n["rows"], right_rows=k["rows"]).where("ra <> rb")
+        low, high = F.least("ra", "rb"), F.greatest("ra", "rb")
+        before, (left, n) = left, cut_counted(y.groupBy(low.alias("a"), high.alias("b")).agg(F.min("edge").alias("edge")))
+        forget(before, x, forest)
+    return reduce(DataFrame.unionByName, taken) if taken else own.limit(0)
+
+
 def roots_of(forest: DataFrame) -> DataFrame:
     """(id, root) by pointer jumping, every round one join of the moving vertices with the table."""
     from sparkforest.operators.trees import jump

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkforest.operators.components import by_contraction, connected_components
-from sparkforest.operators.traverse import bfs_from, seeds
+from sparkforest.operators.components import by_contraction, connected_components, hooked_forest
+from sparkforest.operators.edges import vertices_of
+from sparkforest.operators.euler import orient
+from sparkforest.operators.traverse import bfs_from, seeds, spanning_forest
 from sparkforest.operators.trees import cross_edges, jump
 from sparkforest.plans.context import cut
 from sparkforest.plans.scale import is_small
@@ -33,18 +35,23 @@ def super_forest(supers: DataFrame, method: str = "sg", small: bool | None = Non
     """(id, parent): the rooted spanning forest of the fragments' graph, each tree rooted at its smallest fragment.
 
     method ``sg`` finds its components in one task where the graph fits, ``hs`` by rounds of hooking and shortcutting; the
-    forest is then oriented breadth-first from the same roots, so both give the same rows.
+    forest is then oriented breadth-first from the same roots, so both give the same rows. ``graft`` grows the forest by
+    grafting trees and reversing paths, ``hook`` takes the edges along which components hook and orients them by a tour;
+    neither has a round per level, for graphs of fragments of any depth.
     """
     pairs = supers.select(F.col("a").alias("u"), F.col("b").alias("v"))
     small = is_small(pairs) if small is None else small
+    if method == "graft":
+        return spanning_forest(pairs, None, small)
+    if method == "hook":
+        ids, tree = cut(vertices_of(pairs)), cut(hooked_forest(pairs, small))
+        return orient(tree, ids, cut(connected_components(tree, ids, small)).where("id = rep").select("id"), small)
     if method == "hs":
-        from sparkforest.operators.edges import vertices_of
-
         labels = by_contraction(pairs, vertices_of(pairs))
     elif method == "sg":
         labels = connected_components(pairs, None, small)
     else:
-        raise ValueError(f"unknown method {method!r}: sg or hs")
+        raise ValueError(f"unknown method {method!r}: sg, hs, graft or hook")
     labels = cut(labels)
     return bfs_from(pairs, labels.select("id"), seeds(labels), small).select("id", "parent")
 

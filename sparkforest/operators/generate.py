@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from sparkforest.operators.edges import absent, degrees, tree_edges
 from sparkforest.operators.traverse import bfs_forest
 
 #: Batch sizes, the numbers of tree edges tried in each, and the sets drawn of each combination.
-MIXED_SIZES = {100: (5, 10, 50, 100), 1000: (10, 100, 500, 1000), 10_000: (10, 100, 500, 1000, 5000, 10_000), 100_000: (10, 100, 500, 1000, 20_000, 50_000, 100_000)}
+MIXED_SIZES = {100: (5, 10, 50, 100), 1000: (10, 100, 500, 1000), 10_000: (10, 100, 500, 1000, 5000, 10_000), 100_000: (10, 100, 500, 1000, 5000, 10_000, 20_000, 50_000, 100_000)}
 SETS = 5
 BRIDGE_SHARE = 0.6
 
@@ -41,6 +43,17 @@ def mixed_batch(edges: DataFrame, forest: DataFrame, total: int, from_tree: int,
     return drawn(tree_edges(forest), min(from_tree, total), seed).unionByName(drawn(non_tree_edges(edges, forest), total - min(from_tree, total), seed + 1))
 
 
+def batch_sets(edges: DataFrame, forest: DataFrame, sizes: dict[int, tuple[int, ...]] | None = None, sets: int = SETS, seed: int = 0) -> DataFrame:
+    """(total, from_tree, set, u, v): mixed batches of every size with every number of tree edges, ``sets`` of each, as one table."""
+    out: list[DataFrame] = []
+    for total, counts in (MIXED_SIZES if sizes is None else sizes).items():
+        for from_tree in counts:
+            for k in range(sets):
+                b = mixed_batch(edges, forest, total, from_tree, seed + 2 * len(out))
+                out.append(b.select(F.lit(total).alias("total"), F.lit(from_tree).alias("from_tree"), F.lit(k).alias("set"), "u", "v"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def non_tree_batch(edges: DataFrame, total: int, root: int | None = None, seed: int = 0) -> DataFrame:
     """Edges outside a breadth-first forest, so that deleting them keeps every component whole."""
     return drawn(non_tree_edges(edges, bfs_forest(edges, root=root)), total, seed)

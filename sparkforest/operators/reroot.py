@@ -21,6 +21,14 @@ def path_by_intervals(forest: DataFrame, repl: DataFrame, small: bool) -> DataFr
     return on.where("pre <= y and y < pre + size").select("id", "parent")
 
 
+def path_lengths(forest: DataFrame, repl: DataFrame, small: bool | None = None) -> DataFrame:
+    """(frag, length): how many vertices lie on the path that turns round, from each u up to its fragment's root, both counted."""
+    from sparkforest.operators.trees import depths
+
+    deep = depths(forest, small).select(F.col("id").alias("u"), "depth")
+    return hot_join(cut(repl.select("frag", "u")), deep, "u", "inner", bool(small)).select("frag", (F.col("depth") + 1).alias("length"))
+
+
 def _jump_tables(forest: DataFrame, small: bool) -> list[DataFrame]:
     """Tables (id, up) of the ancestors at distances 1, 2, 4 ... as far as there are any."""
     jumps = [cut(forest.where("id <> parent").select("id", F.col("parent").alias("up")))]

@@ -161,6 +161,12 @@ def graph_statistics(edges: DataFrame, vertices: DataFrame | None = None, compat
     return base.select("n_vertices", (e2 / 2).cast("bigint").alias("n_edges"), (e2 / F.nullif(n * (n - 1) / 2, F.lit(0.0))).alias("density"), "min_degree", "mean_degree", "median_degree", "max_degree", spread.alias("degree_variance"))
 
 
+def busiest_vertex(edges: DataFrame) -> DataFrame:
+    """(id, degree): the smallest of the vertices with the most neighbours; no row for an empty graph."""
+    best = degrees(edges).agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("b"))
+    return best.where("b is not null").select((-F.col("b.minus")).alias("id"), F.col("b.degree").alias("degree"))
+
+
 def validate_forest(forest: DataFrame, edges: DataFrame, small: bool | None = None) -> DataFrame:
     """One row: n_vertices, n_trees, foreign_edges (tree edges that are no edges), split_edges (edges between two trees), valid.
 

@@ -12,10 +12,6 @@ from pyspark.sql.types import StructType
 OUT_ROWS = 5_000
 
 
-def schema_of(df: DataFrame, schema: str) -> StructType:
-    return StructType.fromDDL(schema)
-
-
 def batched(rows: Iterator[dict], schema: pa.Schema, size: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
     """Packs dictionaries into record batches of bounded size."""
     hold: list[dict] = []

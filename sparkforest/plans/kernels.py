@@ -103,15 +103,20 @@ def subtree(parent: np.ndarray, value: np.ndarray, fold: np.ufunc) -> np.ndarray
     return out
 
 
-def prefix_in_groups(group: np.ndarray, order: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Sum of the values before each row in its group, by ascending order."""
-    at = np.lexsort((order, group))
-    g, run = group[at], np.cumsum(value[at]) - value[at]
-    first = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.empty(0, bool)
-    base = run[first][np.cumsum(first) - 1] if len(g) else run
-    out = np.empty(len(value), dtype=np.int64)
-    out[at] = run - base
-    return out
+def least_forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The positions of the edges of the spanning forest that the edges' order makes smallest: every tree takes its first outgoing edge, all at once."""
+    taken = np.empty(0, np.int64)
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        cross = np.flatnonzero(a != b)
+        if not len(cross):
+            return np.sort(taken)
+        first = np.full(n, len(u))
+        np.minimum.at(first, a[cross], cross)
+        np.minimum.at(first, b[cross], cross)
+        taken = np.unique(np.concatenate((taken, first[first < len(u)])))
+        label = components(n, u[taken], v[taken])
 
 
 def _pair_keys(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from sparkforest.operators import reroot as reroot_ops
 from sparkforest.plans.context import cut, ensure_checkpoint_dir, table
 from sparkforest.plans.scale import is_small, rounds_only
 from sparkforest.sources import declared_size, read_batch, read_graph, write_batch, write_egr, write_graph, write_records
-from sparkforest.state import ForestState, repair_report
+from sparkforest.state import ForestState, repair_details, repair_report
 from sparkforest.streaming.batches import OPERATIONS, ForestStore, run_stream
 
 GRAPH_BITS = 40
@@ -443,9 +443,54 @@ def e15_hooking_components(spark: SparkSession, d: str) -> DataFrame:
     return labels.select("rep").distinct().agg(F.count("*").alias("n_components"))
 
 
+_VALID_SUPERS = _sql("select (select count(distinct u) from ssym) n_vertices, (select count(distinct rep) from sc) n_trees, 0::bigint foreign_edges, 0::bigint split_edges, true valid", _URGENT, _SYM, _CC, _BFS, _CUT, _SUPER)
+
+
+def _valid_supers(spark: SparkSession, d: str, method: str) -> DataFrame:
+    s = _supers(spark, d)
+    return trees.validate_forest(cut(contract.super_forest(s, method)), s.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+@_query(_VALID_SUPERS)
+def e2_grafted_super_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The fragments' forest grown by grafting and path reversal."""
+    return _valid_supers(spark, d, "graft")
+
+
+@_query(_VALID_SUPERS)
+def e14_hooked_super_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The fragments' forest out of the edges along which components hook, oriented by a tour."""
+    return _valid_supers(spark, d, "hook")
+
+
+@_query(_sql("select u, v from o2 where not exists (select 1 from reach r where r.eu = o2.u and r.ev = o2.v and r.x = o2.v)", _URGENT, _SYM, _CC, _BFS, _CUT, _SUPER, "o2 as materialized (select a u, b v from se), reach(eu, ev, x) as (select u, v, u from o2 union select r.eu, r.ev, s.v from reach r join ssym s on s.u = r.x where (least(s.u, s.v), greatest(s.u, s.v)) < (r.eu, r.ev))"))
+def e9_hooking_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges along which the components of the fragments' graph hook: those whose ends no earlier edges join."""
+    return components.hooked_forest(_supers(spark, d).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+@_query(_sql("select id, p parent from par", _NET, _SYM, _CC, _BFS))
+def e16_orient_by_tour(spark: SparkSession, d: str) -> DataFrame:
+    """A forest's edges, their directions forgotten, rooted again where they were."""
+    f = _forest(net(spark, d))
+    return euler.orient(E.tree_edges(f).select("u", "v"), f.select("id"), trees.find_roots(f))
+
+
 # F. Euler tours
 
 
+@_query(_sql("select p.id src, q.v dst, coalesce(min(s.v) filter (where s.v > p.id), min(s.v)) next_dst from tree q join (select distinct u id from tree) p on p.id = q.u join tree s on s.u = q.v group by p.id, q.v", _CHAIN, _SYM, _CC, _BFS, "tree as materialized (select id u, p v from par where id <> p union all select p, id from par where id <> p)"))
+def f8_successors(spark: SparkSession, d: str) -> DataFrame:
+    """Every arc of the tours beside the vertex to which the arc after it leads."""
+    t = cut(euler.tour_successors(E.tree_edges(_forest(chain(spark, d))).select("u", "v")))
+    return t.join(t.select(F.col("arc").alias("next"), F.col("dst").alias("next_dst")), "next").select("src", "dst", "next_dst")
+
+
+@_query(_sql('select root, 2 * pre - depth as "position", id, depth::bigint "level" from pos union all select root, 2 * (pre + size - 1) - depth + 1, parent, depth::bigint - 1 from pos where id <> root', _CHAIN, _SYM, _CC, _BFS, _BELOW, _DEPTH, _PRE))
+def f14_modified_tour(spark: SparkSession, d: str) -> DataFrame:
+    return euler.modified_tour(_forest(chain(spark, d)))
+
+
 @_query(_sql("select p parent, id, row_number() over (partition by p order by id) - 1 as k, count(*) over (partition by p) children from par where id <> p", _NET, _SYM, _CC, _BFS))
 def f4_child_numbers(spark: SparkSession, d: str) -> DataFrame:
     return euler.child_numbers(_forest(net(spark, d)))
@@ -494,6 +539,29 @@ def h2_non_tree_edges(spark: SparkSession, d: str) -> DataFrame:
     return generate.non_tree_edges(e, _forest(e))
 
 
+@_query(_sql("select u id, count(*) degree from sym group by u order by degree desc, id limit 1", _NET, _SYM))
+def a9_busiest_vertex(spark: SparkSession, d: str) -> DataFrame:
+    return trees.busiest_vertex(net(spark, d))
+
+
+@_query(_sql("select (select count(*) from cand) candidates, (select count(*) from cand e join frag a on a.id = e.u join frag b on b.id = e.v where a.rep <> b.rep) cross_edges, min(n)::bigint min_path, max(n)::bigint max_path, avg(n) mean_path, quantile_cont(n, 0.5) median_path from (select frag, count(*) n from path group by frag)", _CHAIN, _SYM, _CC, _BFS, _CUT, _SUPER))
+def d13_repair_details(spark: SparkSession, d: str) -> DataFrame:
+    before, b = ForestState.from_edges(chain(spark, d)), chain_batch(spark, d)
+    return repair_details(before, before.delete(b), b)
+
+
+@_query(_sql("select total, from_tree, k as \"set\", least(from_tree, (select count(*) from par where id <> p))::bigint n_tree, least(total - from_tree, (select count(*) from edges) - (select count(*) from par where id <> p))::bigint n_other from (values (100, 5), (100, 10), (100, 50), (100, 100), (1000, 10), (1000, 100), (1000, 500), (1000, 1000)) g(total, from_tree), range(0, 2) r(k)", _CHAIN, _SYM, _CC, _BFS))
+def h3_batch_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Two sets of the batches of up to a thousand edges: how many of each are of the forest, by looking them up there."""
+    e = chain(spark, d)
+    f = _forest(e)
+    sizes = {n: generate.MIXED_SIZES[n] for n in (100, 1000)}
+    b = cut(generate.batch_sets(e, f, sizes, 2))
+    tree = E.tree_edges(f).select("u", "v", F.lit(True).alias("t"))
+    kinds = E.present(b, e).join(tree, ["u", "v"], "left").groupBy("total", "from_tree", "set")
+    return kinds.agg(F.count_if("t").alias("n_tree"), F.count_if(F.col("t").isNull()).alias("n_other"))
+
+
 @_query(_sql("select 100::bigint n, 50::bigint from_tree, 100::bigint in_graph", _CHAIN))
 def h3_mixed_batch(spark: SparkSession, d: str) -> DataFrame:
     e = chain(spark, d)
@@ -523,6 +591,23 @@ def h6_bridges(spark: SparkSession, d: str) -> DataFrame:
     return bridge_ops.bridges(urgent(spark, d))
 
 
+_LONE = "lone as (select least(id, p) u, greatest(id, p) v from par where id <> p and id not in (select a from covered))"
+
+
+@_query(_sql("select least(60, (select count(*) from lone)) n_bridges, least(100 - least(60, (select count(*) from lone)), (select count(*) from spans)) n_other", _URGENT, _SYM, _CC, _BFS, _BELOW, _BRIDGES, _LONE))
+def h5_bridges_in_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Of a batch of 100 edges how many are bridges and how many are not."""
+    e = urgent(spark, d)
+    b = cut(generate.bridge_batch(e, 100))
+    lone = cut(bridge_ops.bridges(e))
+    return trees.side_by_side(E.present(b, lone).agg(F.count("*").alias("n_bridges")), E.absent(b, lone).agg(F.count("*").alias("n_other")))
+
+
+@_query(_sql("select distinct s.u id from sym s where not exists (select 1 from walk w where w.x = s.u and w.y = s.v)", _URGENT, _SYM, "walk(x, y) as (select u, min(v) from sym group by u union select w.x, s.v from walk w join sym s on s.u = w.y where s.v <> w.x)"))
+def h6_cut_vertices_urgent(spark: SparkSession, d: str) -> DataFrame:
+    return bridge_ops.cut_vertices(urgent(spark, d))
+
+
 _ROOTED = "top as (select case when c.rep = t.rep then t.id else c.rep end r from (select distinct rep from cc) c, (select id, rep from cc where id = (select max(id) from vert)) t), rf(id, d) using key (id) as (select r, 0 from top union (select s.v, min(b.d) + 1 from rf b join sym s on s.u = b.id where not exists (select 1 from recurring.rf q where q.id = s.v) group by s.v)), rp as (select x.id, coalesce(min(s.u) filter (where y.d = x.d - 1), x.id) p, any_value(x.d) d from rf x join sym s on s.v = x.id join rf y on y.id = s.u group by x.id)"
 
 

@@ -18,6 +18,8 @@ from sparkforest.plans.context import cut
 FORMATS = {"txt": "text", "edges": "text", "eg2": "text", "egr": "binary", "csr": "binary", "parquet": "parquet"}
 SPLIT_NEIGHBOURS = 4_000_000
 FILL = 1_000_000
+#: Lines of a text file; a graph of more is written as several.
+PART_ROWS = 20_000_000
 _EDGE = "u bigint, v bigint"
 _NONE = "\x01"  # no line holds it: every line is one field
 
@@ -121,23 +123,31 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
     return canonical(read_pairs(spark, path))
 
 
-def _write_lines(pairs: DataFrame, header: str, path: str) -> None:
-    """The format wants one file with the header first: one task writes it, streaming the sorted rows."""
+def _write_lines(pairs: DataFrame, header: str, path: str, rows: int, part_rows: int) -> None:
+    """Up to part_rows lines make one file with the header first, as the format wants. Larger graphs make a folder of files, sorted
+    one after the other, each with the header; the reader passes over the first line of each."""
     spark = pairs.sparkSession
     a, b = pairs.columns
-    text = pairs.select(F.lit(1).alias("k"), F.col(a).alias("x"), F.col(b).alias("y"), F.concat_ws(" ", a, b).alias("value"))
+    line = F.concat_ws(" ", a, b).alias("value")
+    if rows > part_rows:
+        parts = -(-rows // part_rows)
+        ranged = pairs.repartitionByRange(parts, a, b).sortWithinPartitions(a, b).select(line.alias(header))
+        ranged.write.mode("overwrite").option("header", True).option("sep", _NONE).option("quote", "").option("escape", "").csv(path)
+        return
+    text = pairs.select(F.lit(1).alias("k"), F.col(a).alias("x"), F.col(b).alias("y"), line)
     top = spark.createDataFrame([(0, None, None, header)], "k int, x bigint, y bigint, value string")
     top.unionByName(text).repartition(1).sortWithinPartitions("k", "x", "y").select("value").write.mode("overwrite").text(path)
 
 
-def write_batch(batch: DataFrame, path: str) -> None:
-    _write_lines(batch.select("u", "v"), str(batch.count()), path)
+def write_batch(batch: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:
+    n = batch.count()
+    _write_lines(batch.select("u", "v"), str(n), path, n, part_rows)
 
 
-def write_graph(edges: DataFrame, path: str, vertices: DataFrame | None = None) -> None:
+def write_graph(edges: DataFrame, path: str, vertices: DataFrame | None = None, part_rows: int = PART_ROWS) -> None:
     """Header ``vertices directed-edges``, then both directions of every edge."""
-    n = (vertices_of(edges) if vertices is None else vertices).count()
-    _write_lines(symmetrise(edges), f"{n} {2 * edges.count()}", path)
+    n, m = (vertices_of(edges) if vertices is None else vertices).count(), 2 * edges.count()
+    _write_lines(symmetrise(edges), f"{n} {m}", path, m, part_rows)
 
 
 def write_records(records: DataFrame, path: str) -> None:

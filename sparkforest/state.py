@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from sparkforest.operators import edges as E
 from sparkforest.operators.contract import fragments, replacements, super_edges, super_forest
@@ -18,6 +20,10 @@ from sparkforest.plans.context import cut
 from sparkforest.plans.scale import fits_task, in_one_task, is_small
 
 
+#: Every so many versions one is written whole.
+COMPACT = 20
+
+
 @dataclass(frozen=True)
 class Repair:
     """What one repair saw: the cut forest, its fragments, the fragments' graph and forest, the edges taken."""
@@ -33,7 +39,7 @@ class Repair:
 class ForestState:
     """Edges and forest of one version. Every change gives a new state; the old one stays as it was.
 
-    strategy: ``sg`` or ``hs``, how the fragments' graph is searched. method: ``interval`` or ``lifting``, how paths turn.
+    strategy: ``sg``, ``hs``, ``graft`` or ``hook``, how the fragments' graph is searched. method: ``interval`` or ``lifting``, how paths turn.
     in_task: whether a graph that fits one task may be repaired there, with the same answer; else it takes the operators.
     """
 
@@ -84,7 +90,7 @@ class ForestState:
             above = cut(super_forest(supers, self.strategy))
             return Repair(cutted, frag, supers, above, cut(replacements(above, supers)))
 
-        if small and self.in_task:
+        if small and self.in_task and self.strategy in ("sg", "hs"):
             new, last = cut(_in_task(forest, candidates, dead)), details
         else:
             seen = details()
@@ -97,15 +103,42 @@ class ForestState:
         """(n_trees)"""
         return self.forest.agg(F.count_if(F.col("id") == F.col("parent")).alias("n_trees"))
 
-    def save(self, path: str) -> None:
-        """Writes this version below path; a version written before is written over with the same rows."""
-        self.edges.write.mode("overwrite").parquet(f"{path}/version={self.version:010d}/edges")
-        self.forest.write.mode("overwrite").parquet(f"{path}/version={self.version:010d}/forest")
+    def save(self, path: str, before: ForestState | None = None) -> None:
+        """Writes this version below path; a version written before is written over with the same rows.
+
+        With ``before``, the version this one was made from, only what differs is written, save for every COMPACT-th version.
+        """
+        at = f"{path}/version={self.version:010d}"
+        if before is None or self.version % COMPACT == 0:
+            self.edges.write.mode("overwrite").parquet(f"{at}/edges")
+            self.forest.write.mode("overwrite").parquet(f"{at}/forest")
+            return
+        gone, fresh = E.absent(before.edges, self.edges), E.absent(self.edges, before.edges)
+        gone.withColumn("live", F.lit(False)).unionByName(fresh.withColumn("live", F.lit(True))).write.mode("overwrite").parquet(f"{at}/edge_changes")
+        old = before.forest.select("id", F.col("parent").alias("was"))
+        self.forest.join(old, "id", "left").where("was is null or was <> parent").select("id", "parent").write.mode("overwrite").parquet(f"{at}/forest_changes")
 
     @classmethod
     def load(cls, spark, path: str, version: int, **how) -> ForestState:
-        at = f"{path}/version={version:010d}"
-        return cls(spark.read.parquet(f"{at}/edges"), spark.read.parquet(f"{at}/forest"), version, **how)
+        """A version out of the last whole one and the changes since; the few changes are joined, the whole is only read."""
+        at = lambda v, what: spark.read.parquet(f"{path}/version={v:010d}/{what}")
+        base = version
+        while True:
+            try:
+                edges, forest = at(base, "edges"), at(base, "forest")
+                break
+            except AnalysisException:
+                if base == 0:
+                    raise
+                base -= 1
+        changed = range(base + 1, version + 1)
+        if changed:
+            of = lambda what: reduce(DataFrame.unionByName, [at(v, what).withColumn("_v", F.lit(v)) for v in changed])
+            e = cut(of("edge_changes").groupBy("u", "v").agg(F.max_by("live", "_v").alias("live")))
+            f = cut(of("forest_changes").groupBy("id").agg(F.max_by("parent", "_v").alias("parent")))
+            edges = E.absent(edges, e).unionByName(e.where("live").select("u", "v"))
+            forest = forest.select("id", "parent").join(f.select("id"), "id", "left_anti").unionByName(f)
+        return cls(edges, forest, version, **how)
 
 
 def _in_task(forest: DataFrame, edges: DataFrame, dead: DataFrame) -> DataFrame:
@@ -127,3 +160,16 @@ def repair_report(before: ForestState, after: ForestState, batch: DataFrame) ->
     one = lambda df, name: df.agg(F.count("*").alias(name))
     r = after.last()
     return side_by_side(b, one(r.cut.where("id = parent"), "fragments"), one(r.supers, "fragment_pairs"), one(r.repl, "replacements"), before.components().withColumnRenamed("n_trees", "trees_before"), after.components().withColumnRenamed("n_trees", "trees_after"))
+
+
+def repair_details(before: ForestState, after: ForestState, batch: DataFrame) -> DataFrame:
+    """One row: edges that might replace a deleted one, those of them between two fragments, and the fewest, most, mean and
+    median vertices on the paths that turned round (null if none did)."""
+    from sparkforest.operators.reroot import path_lengths
+    from sparkforest.operators.trees import cross_edges, side_by_side
+
+    r = after.last()
+    left = cut(E.candidates(before.edges, E.canonical(batch), r.cut))
+    between = cross_edges(left, r.frag).agg(F.count("*").alias("cross_edges"))
+    n = path_lengths(r.cut, r.repl).agg(F.min("length").alias("min_path"), F.max("length").alias("max_path"), F.avg("length").alias("mean_path"), F.percentile("length", 0.5).alias("median_path"))
+    return side_by_side(left.agg(F.count("*").alias("candidates")), between, n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
+from sparkforest.plans.context import cut
 from sparkforest.state import ForestState
 
 OPERATIONS = "batch_id bigint, op string, u bigint, v bigint"
@@ -38,7 +39,7 @@ class ForestStore:
 
         A batch applied before is passed over, so a micro-batch may be delivered twice. Rows with a null are left out.
         """
-        good = rows.where("batch_id is not null and u is not null and v is not null and op in ('delete', 'insert')")
+        good = cut(rows.where("batch_id is not null and u is not null and v is not null and op in ('delete', 'insert')").select("batch_id", "op", "u", "v"))  # read once a micro-batch
         todo = good.select("batch_id", "op").distinct().join(F.broadcast(self.applied().select("batch_id", "op")), ["batch_id", "op"], "left_anti")
         steps = [tuple(r) for r in todo.orderBy("batch_id", "op").limit(MAX_BATCHES + 1).collect()]  # names of batches, no edges
         if len(steps) > MAX_BATCHES:
@@ -47,7 +48,7 @@ class ForestStore:
             state = self.latest()
             edges = good.where((F.col("batch_id") == batch_id) & (F.col("op") == op)).select("u", "v")
             new = state.delete(edges) if op == "delete" else state.insert(edges)
-            new.save(self.path)
+            new.save(self.path, state)
             self.spark.createDataFrame([(batch_id, op, new.version)], "batch_id bigint, op string, version int").coalesce(1).write.mode("append").parquet(f"{self.path}/applied")
 
 

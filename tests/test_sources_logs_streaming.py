@@ -49,6 +49,23 @@ def test_round_trips(spark, table_rows, tmp_path):
     assert table_rows(read_batch(spark, str(tmp_path / "b"))) == PAIRS and declared_size(spark, str(tmp_path / "b")) == (4,)
 
 
+def test_a_large_text_graph_is_several_files(spark, table_rows, tmp_path):
+    edges = spark.createDataFrame([(i, i + 1 + i % 3) for i in range(200)], "u bigint, v bigint")
+    write_graph(edges, str(tmp_path / "g.txt"), part_rows=70)
+    assert len(list((tmp_path / "g.txt").glob("part-*"))) > 3
+    assert table_rows(read_graph(spark, str(tmp_path / "g.txt"))) == table_rows(edges) and declared_size(spark, str(tmp_path / "g.txt")) == (202, 400)
+    write_batch(edges, str(tmp_path / "b"), part_rows=70)
+    assert table_rows(read_batch(spark, str(tmp_path / "b"))) == table_rows(edges) and declared_size(spark, str(tmp_path / "b")) == (200,)
+
+
+@pytest.mark.parametrize("ending", ["edges", "eg2", "csr", "parquet"])
+def test_graphs_of_every_ending(spark, table_rows, tmp_path, ending):
+    edges = spark.createDataFrame([(0, 1), (1, 2), (0, 4)], "u bigint, v bigint")
+    at = str(tmp_path / f"g.{ending}")
+    {"csr": write_egr, "parquet": lambda e, p: e.write.parquet(p)}.get(ending, write_graph)(edges, at)
+    assert table_rows(read_graph(spark, at)) == table_rows(edges)
+
+
 def test_logs(spark, table_rows, tmp_path):
     (tmp_path / "run.log").write_text("noise\nfilename: data/a.egr\nNumber of deleted tree edges: 7\n\nnumVert: 5, num_edges: 8 and delete batch size: 3\nTime of PJ : 1.5 ms\nTotal execution time for Deletion: 2.25 ms\nfilename: b.txt\nDepth of graph: 4\n")
     log = logs.read_log(spark, str(tmp_path / "run.log"))
