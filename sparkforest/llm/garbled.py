@@ -581,15 +581,16 @@ class Decoder:
 
 
 RESTORED = "doc_id bigint, restored_text string, garbled_lines int, damaged_tokens int, channels array<string>"
-_DECODERS: dict[int, Decoder] = {}
+_DECODERS: dict[int, tuple[np.ndarray, Decoder]] = {}
 
 
 def _decoder(table: np.ndarray) -> Decoder:
-    decoder = _DECODERS.get(id(table))
-    if decoder is None:
+    """The decoder of these counts. The table is held, so that no other one can come to lie in its place."""
+    held = _DECODERS.get(id(table))
+    if held is None:
         _DECODERS.clear()
-        decoder = _DECODERS[id(table)] = Decoder(Lexicon(table))
-    return decoder
+        held = _DECODERS[id(table)] = table, Decoder(Lexicon(table))
+    return held[1]
 
 
 def decide(tokens: DataFrame, table) -> DataFrame:
