@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -91,8 +92,10 @@ def _tables(spark: SparkSession) -> str:
         at = _FOLDERS[app] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables"
 
         def drop() -> None:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, at)
+            # The JVM may be gone by then, and its folder with it.
+            with suppress(Exception):
+                if spark.sparkContext._jsc is not None:
+                    _delete(spark, at)
 
         atexit.register(drop)
     return _FOLDERS[app]

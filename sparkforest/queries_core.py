@@ -17,6 +17,10 @@ def p1_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(table(spark, d, "run_files"), table(spark, d, "run_lines"))
 
 
+def p1_cells(spark: SparkSession, d: str) -> DataFrame:
+    return drift.long_form(table(spark, d, "run_lines"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_degrees(spark, d).where("heavy").select("graph_name", "node_id")
 
@@ -43,7 +47,7 @@ def p5_edges_to_delete(spark: SparkSession, d: str) -> DataFrame:
     return good.select("line_id", "file_id", "node1", "node2", F.get("rest", F.lit(0)).alias("note"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_degrees, p5_found, p5_graph_edges, p5_edges_to_delete)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_cells, p3_found, p3_degrees, p5_found, p5_graph_edges, p5_edges_to_delete)}
 
 _ENDS = """ends as (select graph_name, node1 node_id, node2 other from graph_edges where node1 is not null
   union all select graph_name, node2, node1 from graph_edges where node2 is not null and node1 is distinct from node2)"""
@@ -74,6 +78,9 @@ _RUNS = r"""lined as (select file_id, line_no, list_transform(regexp_extract_all
 
 ORACLE = {
     "p1_found": f"with {_RUNS} select file_id, 'renamed' as change, old_field, new_field from renamed union all select file_id, 'removed', name, '' from gone g where not exists (select 1 from renamed r where r.file_id = g.file_id and r.old_field = g.name) union all select file_id, 'added', '', name from fresh f where not exists (select 1 from renamed r where r.file_id = f.file_id and r.new_field = f.name) union all select file_id, 'type_changed', old_field, new_field from kept where old_kind <> new_kind",
+    "p1_cells": r"""with lined as (select line_id, file_id, line_no, list_transform(regexp_extract_all(',' || regexp_replace(raw_line, '[\r\n]+$', ''), ',("(?:[^"]|"")*"|[^",]*)', 1), lambda x: case when x like '"%"' and len(x) > 1 then replace(x[2:-2], '""', '"') else x end) f from run_lines),
+  cells as materialized (select line_id, file_id, line_no, unnest(f) v, unnest(range(1, len(f) + 1)) pos from lined)
+  select c.line_id, h.v field, case when regexp_full_match(c.v, '[0-9]+') then 'int' when regexp_full_match(c.v, '[0-9]+[.][0-9]+') then 'decimal' else 'text' end raw_type, c.v as "value" from cells c join cells h on h.file_id = c.file_id and h.pos = c.pos and h.line_no = 1 where c.line_no > 1 and trim(c.v) <> ''""",
     "p3_found": f"with {_ENDS} select graph_name, node_id from ends group by all having count(*) >= 0.01 * (select count(*) from graph_edges)",
     "p3_degrees": f"with {_ENDS} select graph_name, node_id, count(distinct other) filter (other <> node_id) degree, count(*) n_rows, count(*) >= 0.01 * (select count(*) from graph_edges) heavy from ends group by 1, 2",
     "p5_found": f"with {_LINES} select line_id, reason from reasoned where reason is not null",
