@@ -19,7 +19,7 @@ from sparkforest.plans.context import cut
 
 BLOCKS = 100_000
 SHARD_ROWS = 200_000
-#: Records added, at most, to each source of a mix after its blocks; each one at least halves what is missing or ends it.
+#: Records added, at most, to each source of a mix after its blocks; what they leave missing stays missing and shows in the shares.
 FILLS = 12
 MAX_TARGETS = 10_000
 SELECTED = "mix_name string, source string, doc_id bigint, n_tokens bigint, repeats bigint"
