@@ -52,8 +52,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows are written as a table into the shared folder and read from there, so that a lost executor
     costs no recomputation of earlier rounds.
 
-    A checkpoint() would hand the estimated sizes and constraints of its plan on to the next; over the rounds of a loop these
-    grow until planning takes longer than the work. A table's size is that of its files.
+    With checkpoint() the rounds of a loop were seen to take ever longer on ever fewer rows, probably since it hands the estimated
+    sizes and constraints of its plan on to the next. A table's size is that of its files.
     """
     return cut_counted(df)[0]
 
