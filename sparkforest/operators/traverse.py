@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,27 +95,70 @@ def _bfs_rounds(edges: DataFrame, ids: DataFrame, roots: DataFrame) -> DataFrame
     return done.unionByName(rest.select("id", F.col("id").alias("parent"), F.lit(-1).cast("bigint").alias("level")))
 
 
-def dfs_forest(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def dfs_forest(edges: DataFrame, vertices: DataFrame | None = None, small: bool | None = None) -> DataFrame:
     """(id, parent, preorder): depth-first trees rooted at each component's smallest vertex, neighbours pushed in ascending order.
 
-    Depth-first order is sequential. It runs in one task and raises for graphs beyond SMALL_ROWS rather than collect them.
+    Depth-first order is sequential, so one task finds it, whatever the size. Beyond SMALL_ROWS Spark sorts both directions of
+    the edges, on disk where need be, and the task streams them into files of its local folder, on which it searches.
     """
     from sparkforest.operators.edges import vertices_of
 
     ids = vertices_of(edges) if vertices is None else vertices.select("id").unionByName(vertices_of(edges)).distinct()
-    if not is_small(edges, ids):
-        raise ValueError("the depth-first search is for graphs that fit one task; take bfs_forest or spanning_forest")
+    schema = "id bigint, parent bigint, preorder bigint"
+    if is_small(edges, ids) if small is None else small:
 
-    def kernel(given: dict) -> list:
-        import numpy as np
-
-        (own,), (u, v) = given["ids"], given["edges"]
-        names, (_, a, b) = kernels.dense(own, u, v)
-        reps = np.unique(kernels.components(len(names), a, b))
-        parent, number = kernels.depth_first(len(names), a, b, reps)
-        return [names, names[parent], number]
-
-    return in_one_task({"ids": ids, "edges": edges.select("u", "v")}, kernel, "id bigint, parent bigint, preorder bigint")
+        def kernel(given: dict) -> list:
+            (own,), (u, v) = given["ids"], given["edges"]
+            names, (_, a, b) = kernels.dense(own, u, v)
+            parent, number = kernels.depth_first(len(names), a, b)
+            return [names, names[parent], number]
+
+        return in_one_task({"ids": ids, "edges": edges.select("u", "v")}, kernel, schema)
+    rows = ids.select(F.lit(0).alias("part"), F.col("id").alias("src"), F.lit(0).cast("bigint").alias("dst")).unionByName(symmetrise(edges).select(F.lit(1).alias("part"), "src", "dst"))
+    # coalesce would sort in one task too; the exchange lets the tables before it keep their tasks.
+    return rows.repartition(1).sortWithinPartitions("part", "src", "dst").mapInArrow(_dfs_on_disk, schema)
+
+
+def _dfs_on_disk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """dfs_forest of rows (part, src, dst), sorted: first the vertices, then both directions of the edges. Every array of the
+    search is a mapped file, so what stays in memory is the system's to decide."""
+    local = next((x for x in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(x)), None)
+    with tempfile.TemporaryDirectory(dir=local) as folder:
+
+        def mapped(name: str, rows: int) -> np.ndarray:
+            """A file of so many bigints; one that is not there is made, filled with 0."""
+            at = os.path.join(folder, name)
+            if not rows:
+                return np.empty(0, np.int64)
+            return np.asarray(np.memmap(at, np.int64, "r+" if os.path.exists(at) else "w+", shape=(rows,)))
+
+        n = m = 0
+        names = first = None
+        with open(os.path.join(folder, "names"), "wb") as ids, open(os.path.join(folder, "dst"), "wb") as arcs:
+            for b in batches:
+                part, src, dst = (b.column(i).to_numpy() for i in range(3))
+                own = src[part == 0]
+                ids.write(own.tobytes())
+                n += len(own)
+                src, dst = src[part == 1], dst[part == 1]
+                if not len(src):
+                    continue
+                if names is None:
+                    ids.flush()
+                    names, first = mapped("names", n), mapped("first", n + 1)
+                at, size = np.unique(np.searchsorted(names, src), return_counts=True)
+                first[at + 1] += size
+                arcs.write(np.searchsorted(names, dst).astype(np.int64).tobytes())
+                m += len(dst)
+        names, first, dst = mapped("names", n), mapped("first", n + 1), mapped("dst", m)
+        left, parent, number = (mapped(x, n) for x in ("left", "parent", "number"))
+        np.cumsum(first, out=first)
+        left[:] = first[1:]
+        number[:] = -1
+        kernels.descend(first, dst, left, parent, number)
+        for k in range(0, n, 100_000):
+            part = slice(k, k + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(names[parent[part]]), pa.array(number[part])], names=["id", "parent", "preorder"])
 
 
 def spanning_forest(edges: DataFrame, vertices: DataFrame | None = None, small: bool | None = None) -> DataFrame:

@@ -172,8 +172,8 @@ def validate_forest(forest: DataFrame, edges: DataFrame, small: bool | None = No
 
     A forest is valid if its edges are the graph's, no edge joins two trees, and the parents have no cycle (which raises).
     """
+    top = cut(jump(forest, small=small).select("id", F.col("root").alias("rep")))  # by rounds only if the vertices fit no task; the edges don't count here
     small = is_small(edges, forest) if small is None else small
-    top = cut(jump(forest, small=small).select("id", F.col("root").alias("rep")))
     foreign = tree_edges(forest).join(edges.select("u", "v"), ["u", "v"], "left_anti").agg(F.count("*").alias("foreign_edges"))
     split = cross_edges(edges, top, small).agg(F.count("*").alias("split_edges"))
     n = forest.agg(F.count("*").alias("n_vertices"), F.count_if(F.col("id") == F.col("parent")).alias("n_trees"))
