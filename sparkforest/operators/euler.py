@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkforest.operators.edges import symmetrise
-from sparkforest.operators.trees import jump, subtree_fold
+from sparkforest.operators.trees import jump, list_ranks, subtree_fold
 from sparkforest.plans.context import cut
 from sparkforest.plans.prefix import grouped_prefix, ranked
 from sparkforest.plans.scale import hot_join, is_small
@@ -71,16 +71,16 @@ def orient(tree: DataFrame, vertices: DataFrame, roots: DataFrame, small: bool |
     """(id, parent): the forest with the edges ``tree(u, v)``, rooted at ``roots(id)``, one in each tree that has edges; of
     ``vertices(id)`` those without edges are their own parents.
 
-    The tour is cut before the root's first arc and ranked as a list by pointer jumping; of an edge's two arcs the one that
-    comes first goes down. The rounds grow with the logarithm of the vertices, whatever the depth.
+    The tour is cut before the root's first arc and ranked as a list that is shortened round by round; of an edge's two arcs the
+    one that comes first goes down. The rounds grow with the logarithm of the vertices, whatever the depth.
     """
-    small = is_small(tree) if small is None else small
+    finish, small = small is None, is_small(tree) if small is None else small
     next_of = cut(tour_successors(tree, small))
     starts = next_of.join(roots.select(F.col("id").alias("src")), "src", "left_semi").groupBy("src").agg(F.min("arc").alias("next"))
     ends = starts.select("next", F.lit(True).alias("last"))
-    linked = next_of.join(ends, "next", "left").select("arc", "src", "dst", F.when(F.col("last"), F.col("arc")).otherwise(F.col("next")).alias("next"))
+    linked = next_of.join(ends, "next", "left").select("arc", "src", "dst", F.when(F.col("last").isNull(), F.col("next")).alias("next"))
     listed = cut(linked)
-    left = cut(jump(listed.select(F.col("arc").alias("id"), F.col("next").alias("parent")), small=small).select(F.col("id").alias("arc"), F.col("total").alias("left")))
+    left = list_ranks(listed.select(F.col("arc").alias("id"), "next"), small, finish).withColumnRenamed("id", "arc")
     at = cut(listed.join(left, "arc").select("src", "dst", "left"))
     # The arc with more of the list after it comes first.
     both = at.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.max_by(F.struct("src", "dst"), "left").alias("down"))

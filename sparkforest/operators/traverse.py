@@ -36,8 +36,8 @@ def bfs_forest(edges: DataFrame, vertices: DataFrame | None = None, root: int |
     A root is its own parent at level 0; a vertex without edges is a root. One round per level beyond SMALL_ROWS: for graphs
     of great depth take spanning_forest, whose rounds grow with the logarithm.
     """
-    small = is_small(edges) if small is None else small
-    labels = cut(connected_components(edges, vertices, small))
+    given, small = small, is_small(edges) if small is None else small
+    labels = cut(connected_components(edges, vertices, small or given))  # a large graph's rest is joined up in one task, unless told otherwise
     return bfs_from(edges, labels.select("id"), seeds(labels, root), small)
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkforest.operators.edges import degrees, tree_edges
 from sparkforest.plans import kernels
-from sparkforest.plans.context import cut, cut_counted
-from sparkforest.plans.scale import hot_join, in_one_task, is_small
+from sparkforest.plans.context import cut, cut_counted, forget
+from sparkforest.plans.scale import fits_task, hot_join, in_one_task, is_small
 
 
 def jump(forest: DataFrame, weight: str | None = None, small: bool | None = None, second: str | None = None) -> DataFrame:
@@ -60,6 +60,51 @@ def _jump_rounds(own: DataFrame, sums: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.where("at_root").drop("at_root") for p in parts])
 
 
+def list_ranks(lists: DataFrame, small: bool | None = None, finish: bool = False) -> DataFrame:
+    """(id, left): how many elements come after each in its list; ``next`` is null at a list's end and no element is next of two.
+
+    Rounds that shorten the lists: coins are thrown by hashing, and an element with heads takes in the one after it if that shows
+    tails, which is known without a join. A quarter of a long list goes each round, so all rounds together read a few
+    times the first, where pointer doubling moves the whole list in each. Then the elements taken in get their ranks, the
+    last ones first. With ``finish`` the rest is ranked in one task as soon as it fits.
+    """
+    own = lists.select("id", "next", F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("bigint").alias("w"))
+    if is_small(lists) if small is None else small:
+        return _ranks_in_one_task(own)
+    rest, n = cut_counted(own, more=F.col("next").isNotNull())
+    taken: list[DataFrame] = []
+    while n["more"] and not (finish and fits_task(n["rows"])):
+        heads = lambda c: F.pmod(F.xxhash64(F.lit(len(taken)), F.col(c)), F.lit(2)) == 1  # noqa: E731, B023
+        takes = heads("id") & F.col("next").isNotNull() & ~heads("next")
+        by = rest.where(takes).select(F.col("next").alias("id"), F.col("id").alias("by"), F.col("w").alias("w_by"))
+        met = cut(rest.where(~heads("id")).join(by, "id", "left"))
+        gone = met.where("by is not null")
+        stay = rest.where(heads("id") & ~takes).unionByName(met.where("by is null").select("id", "next", "w"))
+        before, (rest, n) = rest, cut_counted(stay.unionByName(gone.select(F.col("by").alias("id"), "next", (F.col("w_by") + F.col("w")).alias("w"))), more=F.col("next").isNotNull())
+        forget(before)
+        taken.append(gone.select("id", "by", "w_by"))
+    out = cut(_ranks_in_one_task(rest)) if n["more"] else rest.select("id", F.col("w").alias("left"))
+    for gone in reversed(taken):
+        # What an element leaves behind is what its taker has after it, less the way to it.
+        found = gone.join(out.withColumnRenamed("id", "by"), "by").select("id", (F.col("left") - F.col("w_by")).alias("left"))
+        out = cut(out.unionByName(found))
+    return out
+
+
+def _ranks_in_one_task(own: DataFrame) -> DataFrame:
+    def kernel(given: dict) -> list:
+        import numpy as np
+
+        ids, onto, w = given["lists"]
+        names, (a, b) = kernels.dense(ids, onto)
+        parent, weight = np.arange(len(names)), np.zeros(len(names), dtype=np.int64)
+        parent[a], weight[a] = b, w
+        root, total = kernels.jump(parent, weight)
+        return [names[a], total[a] + weight[root[a]]]
+
+    return in_one_task({"lists": own.select("id", F.coalesce("next", "id").alias("next"), "w")}, kernel, "id bigint, left bigint")
+
+
 _FOLDS = {"sum": (F.sum, "add"), "min": (F.min, "minimum"), "max": (F.max, "maximum")}
 
 
